@@ -277,21 +277,19 @@ def flatten_alignments(blocks: DataFrame) -> DataFrame:
     entries keep their place.
     """
     nodes = blocks.select("graph_id", "block_id", F.explode("alignments").alias("node_id", "edit"))
-    kinds = [
-        F.struct(
-            F.lit(EDIT_KINDS[k]).alias("edit_kind"),
-            F.transform(
-                F.col(f"edit.{k}"),
-                lambda e, i, k=k: F.struct(
-                    i.alias("edit_no"),
-                    e["pos"].alias("edit_pos"),
-                    (e["len"] if k == "dels" else F.lit(None).cast("int")).alias("edit_len"),
-                    (F.lit(None).cast("string") if k == "dels" else e["alt" if k == "subs" else "seq"]).alias("edit_text"),
-                    e.isNotNull().alias("present"),
-                ),
-            ).alias("entries"),
+    def entry(kind: str):
+        text = {"subs": "alt", "inss": "seq"}.get(kind)
+        return lambda e, i: F.struct(
+            i.alias("edit_no"),
+            e["pos"].alias("edit_pos"),
+            (F.lit(None).cast("int") if text else e["len"]).alias("edit_len"),
+            (e[text] if text else F.lit(None).cast("string")).alias("edit_text"),
+            e.isNotNull().alias("present"),
         )
-        for k in EDIT_KINDS
+
+    kinds = [
+        F.struct(F.lit(v).alias("edit_kind"), F.transform(F.col(f"edit.{k}"), entry(k)).alias("entries"))
+        for k, v in EDIT_KINDS.items()
     ]
     rows = nodes.select("graph_id", "block_id", "node_id", F.explode(F.array(*kinds)).alias("k")).select(
         "graph_id", "block_id", "node_id", "k.edit_kind", F.explode("k.entries").alias("e")
