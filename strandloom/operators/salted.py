@@ -21,14 +21,15 @@ SALTS = 64
 MOST_HEAVY = 10_000
 
 
-def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> list:
     """Keys with more than ``heavy_rows`` rows and more than a ``MOST_HEAVY``-th of all rows.
 
     The second condition bounds the list by ``MOST_HEAVY`` keys at every size of the table, so it
-    may be broadcast; a lighter key is no burden to the task that gets it.
+    may stand in the plan as a literal list; a lighter key is no burden to the task that gets it.
     """
     least = max(heavy_rows, df.count() // MOST_HEAVY)
-    return df.groupBy(key).count().where(F.col("count") > least).select(key)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
 
 
 def salted_distinct_counts(
@@ -55,10 +56,9 @@ def salted_distinct_counts(
         "__key",
         F.posexplode(F.array(*[F.col(f"__v{i}") for i in range(len(names))])).alias("__kind", "__value"),
     )
-    heavy = heavy_keys(rows.select("__key"), "__key", heavy_rows).withColumn("__heavy", F.lit(True))
-    salted = long.join(F.broadcast(heavy), "__key", "left").withColumn(
-        "__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64("__value"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
+    heavy = heavy_keys(rows.select("__key"), "__key", heavy_rows)
+    salt = F.when(F.col("__key").isin(heavy), F.pmod(F.xxhash64("__value"), F.lit(salts))).otherwise(F.lit(0))
+    salted = long.withColumn("__salt", salt.cast("int"))
     partial = (
         salted.groupBy("__key", "__salt", "__kind", "__value")
         .agg(F.lit(1).alias("__one"))
@@ -87,9 +87,8 @@ def salted_aggregate(
     (all columns by default). Rows with a null key form the group of the null key.
     """
     cols = list(by) or df.columns
-    heavy = heavy_keys(df.where(F.col(key).isNotNull()), key, heavy_rows).withColumn("__heavy", F.lit(True))
-    salted = df.join(F.broadcast(heavy), key, "left").withColumn(
-        "__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(F.lit(0))
-    )
+    heavy = heavy_keys(df.select(key), key, heavy_rows)
+    salt = F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(F.lit(0))
+    salted = df.withColumn("__salt", salt)
     first = salted.groupBy(key, "__salt").agg(*[c.alias(n) for n, c in partials.items()])
     return first.groupBy(key).agg(*[c.alias(n) for n, c in merges.items()])
