@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.session import ship
+from strandloom.session import cut_lineage, ship
 
 #: Items of a part, rows of a matrix slice, and rows of a group that one task takes.
 TILE, SLICE, ROWS = 256, 8_192, 500_000
+#: Tasks that fit null models; groups are spread over them.
+TASKS = 96
 
 
 def _count_group(rows: list[pa.Table | pa.RecordBatch], least: int, lift: float):
@@ -134,26 +136,48 @@ def pair_counts(rows: DataFrame, sizes: DataFrame, least: int = 5, lift: float =
     return whole.where((F.col("n_ab") >= least) & (F.col("n_ab") * F.col("n") >= F.lit(float(lift)) * F.col("n_a") * F.col("n_b")))
 
 
-def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndarray, basket_count: np.ndarray, rounds: int = 2_000, tolerance: float = 1e-10):
-    """Multipliers (x of each frequency class, y of each size class) of the configuration model."""
+def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndarray, basket_count: np.ndarray, rounds: int = 500, tolerance: float = 1e-8):
+    """Multipliers (x of each frequency class, y of each size class) of the configuration model.
+
+    Items of all baskets and baskets of all items are certain (an infinite multiplier); they are
+    peeled off before the rest is fitted by fixed-point iteration.
+    """
     f, s = item_freq.astype(float), basket_size.astype(float)
     cf, cs = item_count.astype(float), basket_count.astype(float)
-    edges = max(1.0, float((f * cf).sum()))
-    x, y = f / np.sqrt(edges), s / np.sqrt(edges)
-    n_items, n_baskets = cf.sum(), cs.sum()
-    for _ in range(rounds):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            nx = f / np.maximum(((cs * y)[None, :] / (1 + x[:, None] * y[None, :])).sum(1), 1e-300)
-            nx = np.where(f >= n_baskets, 1e9, np.minimum(nx, 1e9))
-            ny = s / np.maximum(((cf * nx)[None, :] / (1 + y[:, None] * nx[None, :])).sum(1), 1e-300)
-            ny = np.where(s >= n_items, 1e9, np.minimum(ny, 1e9))
-        done = np.abs(nx - x).max(initial=0) <= tolerance * max(1.0, np.abs(x).max(initial=0)) and np.abs(ny - y).max(initial=0) <= tolerance * max(1.0, np.abs(y).max(initial=0))
-        x, y = nx, ny
-        if done:
+    x, y = np.zeros(len(f)), np.zeros(len(s))
+    while True:
+        full_item = (cf > 0) & (f > 0) & (f >= cs.sum())
+        x[full_item] = np.inf
+        s = s - cf[full_item].sum()
+        cf = np.where(full_item, 0, cf)
+        full_basket = (cs > 0) & (s > 0) & (s >= cf.sum())
+        y[full_basket] = np.inf
+        f = np.where(cf > 0, f - cs[full_basket].sum(), f)
+        cs = np.where(full_basket, 0, cs)
+        if not full_item.any() and not full_basket.any():
             break
+    i, j = np.flatnonzero((cf > 0) & (f > 0)), np.flatnonzero((cs > 0) & (s > 0))
+    if len(i) and len(j):
+        f, s, cf, cs = f[i], s[j], cf[i], cs[j]
+        edges = max(1.0, float((f * cf).sum()))
+        u, v = f / np.sqrt(edges), s / np.sqrt(edges)
+        for _ in range(rounds):
+            nu = f / ((cs * v)[None, :] / (1 + u[:, None] * v[None, :])).sum(1)
+            nv = s / ((cf * nu)[None, :] / (1 + v[:, None] * nu[None, :])).sum(1)
+            done = (np.abs(nu - u) <= tolerance * nu).all() and (np.abs(nv - v) <= tolerance * nv).all()
+            u, v = nu, nv
+            if done:
+                break
+        x[i], y[j] = u, v
     return x, y
 
 
+def probability(x: float, y: np.ndarray) -> np.ndarray:
+    """Chance of an item in a basket of each size class."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isinf(x) | np.isinf(y), 1.0, x * y / (1 + x * y))
+
+
 def _binomial(n: int, p: float, top: int) -> np.ndarray:
     """P(0..top) of a binomial, by the ratio of neighbours in logarithms."""
     top = min(top, n)
@@ -188,7 +212,7 @@ def poisson_binomial_tail(p: np.ndarray, count: np.ndarray, k: int) -> float:
 def expected_and_tail(model: tuple, n_a: int, n_b: int, n_ab: int) -> tuple[float, float]:
     item_freq, basket_count, x, y = model
     xa, xb = x[np.searchsorted(item_freq, n_a)], x[np.searchsorted(item_freq, n_b)]
-    p = (xa * y / (1 + xa * y)) * (xb * y / (1 + xb * y))
+    p = probability(xa, y) * probability(xb, y)
     return float((p * basket_count).sum()), poisson_binomial_tail(p, basket_count, n_ab)
 
 
@@ -247,7 +271,7 @@ def together(
     )
     pairs = pair_counts(rows, sizes, least, lift, tile, share)
     if surprise:
-        pairs = _with_surprise(pairs, rows, sizes)
+        pairs = _with_surprise(cut_lineage(pairs), rows, sizes)
     return pairs.withColumn("group", F.col("group").cast(kind)).withColumnRenamed("group", group)
 
 
@@ -269,6 +293,8 @@ def _with_surprise(pairs: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataF
     tails = (
         classes.join(model.drop("tests"), "group")
         .select("group", "n_a", "n_b", "n_ab", "items", "baskets")
+        # few rows, much work on each: a fixed number of partitions, which isn't coalesced by size
+        .repartition(TASKS, "group")
         .sortWithinPartitions("group")
         .mapInArrow(_surprise, "group string, n_a bigint, n_b bigint, n_ab bigint, expected double, p_value double")
     )
