@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +50,8 @@ def greedy(matches: DataFrame) -> DataFrame:
     parts = connected_components(ids, matches.select(F.lit(0).alias("all"), F.col("q_name").alias("a"), F.col("r_name").alias("b")), ["all"])
     grouped = matches.join(parts.select(F.col("vertex").alias("q_name"), "component"), "q_name").select(*matches.columns, "component")
 
+    columns = list(matches.columns)
+
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["energy", "q_name", "q_start", "r_name", "r_start"], kind="stable")
         used: dict[str, list[tuple[int, int]]] = {}
@@ -59,7 +62,7 @@ def greedy(matches: DataFrame) -> DataFrame:
                 kept.append(i)
                 for name, s, e in sides:
                     used.setdefault(name, []).append((s, e))
-        return pdf.iloc[kept][list(matches.columns)]
+        return pdf.iloc[kept][columns]
 
     return grouped.groupBy("component").applyInPandas(take, matches.schema)
 
@@ -194,14 +197,11 @@ def split_match(m: dict, threshold: int) -> list[dict]:
 def split_matches(matches: DataFrame, threshold: int) -> DataFrame:
     """All matches divided at long indels; rows are independent, so no shuffle."""
     ship(matches.sparkSession)
-    names = matches.columns
-    schema = matches.schema
+    names = list(matches.columns)
 
     def run(frames):
-        import pyarrow as pa
-
         for batch in frames:
             rows = [p for m in batch.to_pylist() for p in split_match(m, threshold)]
             yield pa.RecordBatch.from_pylist([{n: p[n] for n in names} for p in rows], schema=batch.schema)
 
-    return matches.mapInArrow(run, schema)
+    return matches.mapInArrow(run, matches.schema)
