@@ -21,9 +21,10 @@ from strandloom.operators.sketch import minimizers, sketch
 from strandloom.session import ship
 
 #: Sensitivity presets: (word, stretch of words that one minimizer stands for, longest gap in a chain).
-PRESETS = {"5": (19, 19, 2_000), "10": (15, 10, 5_000), "20": (13, 6, 10_000)}
+#: At 10 % divergence a word of 15 letters is whole with probability 0.2, so related letters without an
+#: anchor for longer than such a gap are no match; long indels divide matches anyhow.
+PRESETS = {"5": (19, 19, 250), "10": (15, 10, 300), "20": (13, 6, 400)}
 DROP = 40
-MOST_ALIGNED = 3_000
 
 _COMPLEMENT = str.maketrans(LETTERS, COMPLEMENTS)
 
@@ -128,9 +129,6 @@ def chain_match(q: str, r: str, qa: np.ndarray, ra: np.ndarray, chain: list[int]
             n = k
             if dq == dr and dq < 4 * k:
                 _push(ops, "M", dq)
-            elif max(dq, dr) > MOST_ALIGNED:
-                _push(ops, "D", dr)
-                _push(ops, "I", dq)
             else:
                 for op, m in align(r[re_:y], q[qe:x], 0, abs(dq - dr)):
                     _push(ops, op, m)
@@ -158,10 +156,15 @@ def pair_matches(q: str, r: str, k: int, w: int, gap: int, least: int) -> list[d
     for forward in (True, False):
         s = q if forward else reverse_complement(q)
         qa, ra = shared_words(s, r, k, w)
+        done: list[dict] = []
         for chain in chains(qa, ra, k, gap):
+            a, b = chain[0], chain[-1]
+            if any(m["q_start"] <= qa[a] and qa[b] + k <= m["q_end"] and m["r_start"] <= ra[a] and ra[b] + k <= m["r_end"] for m in done):
+                continue  # what a better chain left over of its own stretch
             m = chain_match(s, r, qa, ra, chain, k)
             if m["matches"] < least:
                 continue
+            done.append(dict(m))
             if not forward:
                 m["q_start"], m["q_end"] = len(q) - m["q_end"], len(q) - m["q_start"]
             out.append(m | {"forward": forward, "q_len": len(q), "r_len": len(r)})
