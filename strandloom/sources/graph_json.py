@@ -63,9 +63,13 @@ def graph_json(g: Graphs) -> DataFrame:
     """graph_id, json: one document per graph, with entries in the numeric order of their ids."""
     number = lambda c: id_number(c)
 
+    # values hold maps, which have no order: entries are ordered by their number alone
+    def by_number(entries):
+        return F.array_sort(entries, lambda x, y: F.when(x["n"] < y["n"], -1).when(x["n"] > y["n"], 1).otherwise(0))
+
     def entries(df: DataFrame, key: str, fields: dict, name: str) -> DataFrame:
         value = F.struct(*[c.alias(n) for n, c in fields.items()])
-        kept = df.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(number(key).alias("n"), value.alias("v")))).alias("l"))
+        kept = df.groupBy("graph_id").agg(by_number(F.collect_list(F.struct(number(key).alias("n"), value.alias("v")))).alias("l"))
         return kept.select("graph_id", F.map_from_entries(F.transform("l", lambda e: F.struct(e["n"].cast("string"), e["v"]))).alias(name))
 
     ids = F.transform("nodes", lambda n: n.cast("decimal(20,0)"))
@@ -74,7 +78,7 @@ def graph_json(g: Graphs) -> DataFrame:
         g.nodes, "node_id",
         {"id": number("node_id"), "block_id": number("block_id"), "path_id": number("path_id"), "strand": F.coalesce("strand", F.lit("+")), "position": F.array("pos_start", "pos_end")}, "nodes",
     )
-    rows = g.alignments.groupBy("graph_id", "block_id").agg(F.array_sort(F.collect_list(F.struct(number("node_id").alias("n"), "edit"))).alias("l"))
+    rows = g.alignments.groupBy("graph_id", "block_id").agg(by_number(F.collect_list(F.struct(number("node_id").alias("n"), "edit"))).alias("l"))
     maps = rows.select("graph_id", "block_id", F.map_from_entries(F.transform("l", lambda e: F.struct(e["n"].cast("string"), e["edit"]))).alias("alignments"))
     b = entries(g.blocks.select("graph_id", "block_id", "consensus").join(maps, ["graph_id", "block_id"], "left"), "block_id", {"id": number("block_id"), "consensus": F.col("consensus"), "alignments": F.col("alignments")}, "blocks")
     whole = p.join(b, "graph_id", "left").join(n, "graph_id", "left")
