@@ -65,5 +65,5 @@ GRID = 1_024
 def runs(positions: DataFrame, by: list[str]) -> DataFrame:
     """Consecutive positions as half-open intervals."""
     order = Window.partitionBy(*by).orderBy("pos")
-    marked = positions.select(*by, "pos").distinct().withColumn("k", F.col("pos") - F.row_number().over(order))
-    return marked.groupBy(*by, "k").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("k")
+    marked = positions.select(*by, "pos").distinct().withColumn("__run", F.col("pos") - F.row_number().over(order))
+    return marked.groupBy(*by, "__run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("__run")

@@ -17,7 +17,7 @@ from strandloom.functions.seq import reverse_complement
 from strandloom.operators.components import MOST_ROUNDS, connected_components
 from strandloom.operators.walks import along_path, transitive_edges
 from strandloom.session import cut_lineage
-from strandloom.tables import EDIT_TYPES, Graphs
+from strandloom.tables import EDIT_TYPE, EDIT_TYPES, Graphs
 
 
 def chains(g: Graphs, edges: DataFrame) -> DataFrame:
@@ -114,7 +114,8 @@ def contract(g: Graphs) -> Graphs:
     )
     new_edits = gathered.select("graph_id", "block_id", "node_id", F.struct(flat("subs").alias("subs"), flat("dels").alias("dels"), inss.alias("inss")).alias("edit"))
     old = g.alignments.join(ch.select(*key), key, "left_anti").select("graph_id", "block_id", "node_id", "edit")
-    edits = old.unionByName(new_edits.select("graph_id", "block_id", "node_id", F.col("edit").cast(old.schema["edit"].dataType).alias("edit")))
+    same_type = lambda df: df.select("graph_id", "block_id", "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))
+    edits = same_type(old).unionByName(same_type(new_edits))
     # nodes and walks
     gone = members.select("node_id").distinct()
     new_nodes = firsts.select(F.col("new_node").alias("node_id"), "graph_id", F.col("chain").alias("block_id"), "path_id", F.when(F.col("along"), "+").otherwise("-").alias("strand"), "pos_start", "pos_end")

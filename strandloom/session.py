@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -46,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes the tables of this application; they may be read until its end."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the application has ended before this hook ran
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -54,7 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ``checkpoint()`` would store plainly.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/strandloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
