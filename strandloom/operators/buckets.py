@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 TILE = 1_000
 
 
-def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int = TILE) -> DataFrame:
+def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int = TILE, apart: bool = False) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members that share at least one bucket.
 
+    ``apart`` promises that no member is in two buckets; the pairs are distinct then as they come.
     Defined results: rows with a null in the bucket or the member pair with nothing; a member
     that is in a bucket twice is there once; an empty table gives no rows.
     """
@@ -34,4 +35,5 @@ def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int =
     pairs = left.join(right, [*bucket, "__i", "__j"]).where(
         (F.col("x") != F.col("y")) & ((F.col("__i") != F.col("__j")) | (F.col("x") < F.col("y")))
     )
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs if apart else pairs.distinct()
