@@ -227,8 +227,7 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     across = links.join(classes.select(F.col("c").alias("class_a"), F.col("rec").alias("x")), "class_a").join(
         classes.select(F.col("c").alias("class_b"), F.col("rec").alias("y")), "class_b"
     )
-    several = classes.groupBy("c").count().where(F.col("count") > 1).select("c")
-    copies = classes.join(several, "c", "left_semi")
-    within = copies.select("c", F.col("rec").alias("x")).join(copies.select("c", F.col("rec").alias("y")), "c").where(F.col("x") < F.col("y"))
-    pairs = across.select("x", "y").unionByName(within.select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
+    # copies of one text may be a third of all records: they are paired part by part
+    within = bucket_pairs(classes, ["c"], "rec", apart=True)
+    across = across.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
+    return across.unionByName(within.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b")))
