@@ -10,8 +10,8 @@ of least hash is the window's anchor; equal windows have equal anchors at equal
 suffixes at anchors (about two in LENGTH - ANCHOR + 2 positions) are sent, each with the letters
 before it, and every window is seen in the group of its anchor. Suffixes are grouped by the
 anchor's letters. Prefixes have variable length: where an anchor is so frequent that its group
-would not fit, the prefix is the whole window, and its node is found by a partial aggregate (least
-and greatest record) instead of in memory. The list of such anchors is bounded, see MOST_LONG.
+would not fit, the prefix is the whole window: equal surroundings are made one, and a window's node
+is found by a partial aggregate (least and greatest record) instead of in memory. The list of such anchors is bounded, see MOST_LONG.
 
 Records of the same letters are made one first: all their windows are shared.
 """
@@ -208,42 +208,59 @@ def _merge_small(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Itera
 
 
 def _suffix_rows(long_anchors: np.ndarray):
-    """Rows of anchor suffixes: (anchor, owner, place, context); of long anchors one row per window instead.
-
-    kind 0: a suffix with its context, kind 1: a window of a long anchor, whose context is the window's letters.
-    """
+    """Rows of anchor suffixes: (anchor, owner, place, context, kind); kind 1 marks suffixes of long anchors."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, seq in zip(batch.column(0), batch.column(1), strict=True):
                 for offset, code, at, words in _pieces(seq.as_py()):
-                    if not len(at):
-                        continue
-                    is_long = np.isin(words, long_anchors) if len(long_anchors) else np.zeros(len(at), dtype=bool)
-                    raw = contexts(code, at)
-                    short = ~is_long
-                    if short.any():
-                        yield _row_batch(words[short], owner, at[short] + offset, raw[short], 0)
-                    if is_long.any():
-                        yield from _window_rows(owner, offset, at[is_long], words[is_long], raw[is_long])
+                    if len(at):
+                        kind = np.isin(words, long_anchors) if len(long_anchors) else np.zeros(len(at), dtype=bool)
+                        yield _row_batch(words, owner, at + offset, contexts(code, at), kind)
 
     return lambda batches: _merge_small(rows(batches))
 
 
-def _window_rows(owner, offset: int, at: np.ndarray, words: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
-    left, right, letters = _unpacked(raw)
-    for before in range(LEFT + 1):
-        keep = np.flatnonzero((left >= before) & (right >= LENGTH - before))
-        if len(keep):
-            two = letters[keep, LEFT - before : LEFT - before + LENGTH].reshape(len(keep), LENGTH // 4, 4)
-            packed = ((two[:, :, 0] << 6) | (two[:, :, 1] << 4) | (two[:, :, 2] << 2) | two[:, :, 3]).astype(np.uint8)
-            yield _row_batch(words[keep], owner, at[keep] + offset - before, packed, 1)
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of distinct contexts: (anchor, context, before, window, a, b), a and b being the outermost owners."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            width = 2 + SPAN // 4
+            raw = np.frombuffer(b"".join(c.as_py() for c in part.column(1)), dtype=np.uint8).reshape(-1, width)
+            left, right, letters = _unpacked(raw)
+            for before in range(LEFT + 1):
+                keep = np.flatnonzero((left >= before) & (right >= LENGTH - before))
+                if len(keep):
+                    two = letters[keep, LEFT - before : LEFT - before + LENGTH].reshape(len(keep), LENGTH // 4, 4)
+                    packed = ((two[:, :, 0] << 6) | (two[:, :, 1] << 4) | (two[:, :, 2] << 2) | two[:, :, 3]).astype(np.uint8)
+                    window = pa.array([p.tobytes() for p in packed], pa.binary())
+                    rows = part.take(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0), rows.column(1), pa.array(np.full(len(keep), before, dtype=np.int32)), window, rows.column(2), rows.column(3)],
+                        names=["anchor", "context", "before", "window", "a", "b"],
+                    )
+
+
+def _long_intervals(suffixes: DataFrame) -> DataFrame:
+    """Shared intervals of suffixes of long anchors, without ever holding a group.
+
+    Equal contexts become one row with the least and greatest owner, on the map side first, so copies
+    cost nothing here; what differs is expanded into windows, whose owners are combined the same way.
+    """
+    key = ["anchor", "context"]
+    distinct = cut_lineage(suffixes.groupBy(*key).agg(F.min("owner").alias("a"), F.max("owner").alias("b")))
+    windows = distinct.mapInArrow(_window_rows, "anchor bigint, context binary, before int, window binary, a binary, b binary")
+    nodes = windows.groupBy("window").agg(F.min("a").alias("least"), F.max("b").alias("greatest")).where("least <> greatest")
+    shared = windows.join(nodes.select("window"), "window", "left_semi").groupBy(*key).agg(F.min("before").alias("low"), F.max("before").alias("high"))
+    hits = suffixes.join(shared, key)
+    return hits.select("owner", (F.col("place") - F.col("high")).alias("low"), (F.col("place") - F.col("low") + LENGTH).alias("high"))
 
 
 _ROW = pa.schema([("anchor", pa.int64()), ("owner", pa.binary()), ("place", pa.int64()), ("context", pa.binary()), ("kind", pa.int8())])
 
 
-def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray, kind: int) -> pa.RecordBatch:
+def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     n, width = raw.shape
     offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)).buffers()[1]
     data = pa.py_buffer(np.ascontiguousarray(raw).tobytes())
@@ -253,7 +270,7 @@ def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray, kin
     )
     return pa.RecordBatch.from_arrays(
         [pa.array(words.view(np.int64)), owners, pa.array(place, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, data]),
-         pa.array(np.full(n, kind, dtype=np.int8))], schema=_ROW,
+         pa.array(kind.astype(np.int8))], schema=_ROW,
     )
 
 
@@ -363,9 +380,6 @@ def shared_spans(records: DataFrame, group: int = GROUP) -> DataFrame:
     whole = distinct.where("copies > 1").select("owner", "seq").mapInArrow(_whole_runs, found)
     intervals = read.unionByName(whole)
     if len(long_anchors):
-        windows = sent.where("kind = 1").select("owner", "place", "context")
-        nodes = windows.groupBy("context").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b")
-        hits = windows.join(nodes.select("context"), "context", "left_semi").groupBy("owner", "place").agg(F.lit(1).alias("one"))
-        intervals = intervals.unionByName(hits.select("owner", F.col("place").alias("low"), (F.col("place") + LENGTH).alias("high")))
+        intervals = intervals.unionByName(_long_intervals(sent.where("kind = 1").select("anchor", "owner", "place", "context")))
     spans = merge_intervals(intervals, ["owner"])
     return rows.select("record_kind", "record_id", "owner").join(spans, "owner").select("record_kind", "record_id", "span_start", "span_end")
