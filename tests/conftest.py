@@ -17,7 +17,7 @@ BLOCKS = "graph_id bigint, block_id string, consensus string, alignments map<str
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, 4, "4g")
+    s = local_session(4, 2, "4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
