@@ -156,12 +156,13 @@ def consensus_edges(walks: DataFrame, core: DataFrame) -> DataFrame:
     return counted.where(F.col("n_isolates") > F.col("n") / 2).select("graph_id", "edge", "n_isolates")
 
 
-def context_links(js: DataFrame, scaffold: DataFrame) -> tuple[DataFrame, DataFrame]:
+def context_links(js: DataFrame, scaffold: DataFrame, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Segments and links of the junction-context graph over the chosen edges.
 
     ``scaffold`` has (graph_id, edge): consensus edges, all edges, or those of one isolate. Junctions
     are labelled J0, J1, ... in the order of their edges; an accessory block is a segment of its
-    junction. Segments: graph_id, segment, depth; links: graph_id, left, right, distinct.
+    junction. Segments: graph_id, segment, depth; links: graph_id, left, right, distinct. Given the
+    block statistics, the core blocks of the edges are segments too, with their depth in the whole graph.
     """
     chosen = js.join(scaffold.select("graph_id", "edge").distinct(), ["graph_id", "edge"], "left_semi")
     labels = chosen.select("graph_id", "edge").distinct()
@@ -172,6 +173,10 @@ def context_links(js: DataFrame, scaffold: DataFrame) -> tuple[DataFrame, DataFr
     inner = F.transform("center", lambda s: F.struct(F.concat_ws("_", F.col("label"), s["block_id"]).alias("segment"), s["fwd"].alias("fwd")))
     full = labelled.withColumn("steps", F.concat(F.array(side(0)), inner, F.array(side(1))))
     segments = full.select("graph_id", F.explode(inner).alias("s")).groupBy("graph_id", F.col("s.segment").alias("segment")).agg(F.count("*").alias("depth"))
+    if stats is not None:
+        ends_of = full.select("graph_id", F.explode(F.array(side(0)["segment"], side(1)["segment"])).alias("block_id")).distinct()
+        core = ends_of.join(stats.select("graph_id", "block_id", F.col("count").alias("depth")), ["graph_id", "block_id"])
+        segments = segments.unionByName(core.select("graph_id", F.col("block_id").alias("segment"), "depth"))
     links = full.select(
         "graph_id", F.explode(F.arrays_zip(F.slice("steps", 1, F.size("steps") - 1).alias("a"), F.slice("steps", 2, F.size("steps")).alias("b"))).alias("z")
     ).select("graph_id", F.col("z.a").alias("left"), F.col("z.b").alias("right")).distinct()

@@ -10,8 +10,9 @@ from strandloom.functions import edits as ed
 from strandloom.functions import seq as sq
 from strandloom.operators import matches as mt
 from strandloom.operators import matching, simplify, sketch, stats
+from strandloom.plans import build
 from strandloom.plans.graph_queries import BASE, LINKS, SEQ, STEPS
-from strandloom.session import read_table
+from strandloom.session import cut_lineage, read_table
 from strandloom.sources import gfa, graph_json
 from strandloom.tables import Graphs
 
@@ -108,6 +109,71 @@ def g7_block_matches(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("cigar", cg.text(F.col("cigar")))
 
 
+def _block_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches between blocks of one graph, under names that tell the graphs apart."""
+    found = matching.find_matches(read_table(spark, folder, "blocks"))
+    name = lambda c: F.concat_ws("|", "graph_id", c)
+    return found.withColumns({"q_name": name("q_name"), "r_name": name("r_name")})
+
+
+@query("g9_split_matches")
+def g9_split_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same matches divided at indels of 20 letters and more."""
+    return mt.split_matches(_block_matches(spark, folder), 20).withColumn("cigar", cg.text(F.col("cigar")))
+
+
+@query("g10_accepted_matches")
+def g10_accepted_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches of negative energy that don't overlap a better one, with the anchor side of each."""
+    g = Graphs.load(spark, folder)
+    kept = mt.greedy(cut_lineage(mt.candidates(mt.split_matches(_block_matches(spark, folder), 50), alpha=10.0)))
+    depth = g.alignments.groupBy("graph_id", "block_id").agg(F.count("*").alias("depth"))
+    blocks = g.blocks.join(depth, ["graph_id", "block_id"]).select(F.concat_ws("|", "graph_id", "block_id").alias("name"), "depth", "consensus")
+    return mt.anchors(kept, blocks).withColumn("cigar", cg.text(F.col("cigar")))
+
+
+@query(
+    "g1_singletons",
+    """SELECT rec_index AS graph_id, rec_index::VARCHAR AS block_id, rec_index::VARCHAR AS path_id, length(s) AS pos_end, sha256(upper(s)) AS consensus
+       FROM (SELECT rec_index, arg_max(seq, loaded_at) AS s FROM fasta_records GROUP BY 1) WHERE s <> ''""",
+)
+def g1_singletons(spark: SparkSession, folder: str) -> DataFrame:
+    """One graph of one block, node and path for every record with letters."""
+    rows = read_table(spark, folder, "fasta_records").groupBy("rec_index").agg(F.max(F.struct("loaded_at", "seq", "seq_name", "descr")).alias("last"))
+    g = build.singletons(rows.select("rec_index", "last.seq_name", "last.descr", "last.seq").where("seq <> ''"), circular=False)
+    nodes = g.nodes.join(g.blocks, ["graph_id", "block_id"])
+    return nodes.select("graph_id", "block_id", "path_id", "pos_end", F.sha2("consensus", 256).alias("consensus"))
+
+
+@query(
+    "f8_projected_paths",
+    f"WITH {BASE} SELECT graph_id, path_id, path_name FROM pt WHERE path_name IN (SELECT path_name FROM pt WHERE path_name IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 3)",
+)
+def f8_projected_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of three names: the projection takes a list of names."""
+    g = Graphs.load(spark, folder)
+    names = [r[0] for r in g.paths.where("path_name IS NOT NULL").select("path_name").distinct().orderBy("path_name").limit(3).collect()]
+    return stats.project(g, names)
+
+
+@query(
+    "x13_cigar_edits",
+    """SELECT l_orderkey, l_partkey, l_linenumber, (q || '/' || d) AS dels, ((q + d) || ':' || repeat('N', i)) AS inss
+       FROM (SELECT *, l_quantity::INT + 1 AS q, l_partkey % 9 + 1 AS d, l_suppkey % 4 + 1 AS i FROM lineitem)""",
+)
+def x13_cigar_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits of the cigars made of order lines."""
+    li = read_table(spark, folder, "lineitem")
+    n = lambda c: c.cast("string")
+    text = F.concat(n(F.col("l_quantity").cast("int") + 1), F.lit("M"), n(F.col("l_partkey") % 9 + 1), F.lit("D"), n(F.col("l_suppkey") % 4 + 1), F.lit("I"), n(F.col("l_linenumber")), F.lit("M"))
+    e = li.select("l_orderkey", "l_partkey", "l_linenumber", cg.to_edit(cg.parse(text)).alias("e"))
+    return e.select(
+        "l_orderkey", "l_partkey", "l_linenumber",
+        F.array_join(F.transform("e.dels", lambda d: F.concat(n(d["pos"]), F.lit("/"), n(d["len"]))), ",").alias("dels"),
+        F.array_join(F.transform("e.inss", lambda i: F.concat(n(i["pos"]), F.lit(":"), i["seq"])), ",").alias("inss"),
+    )
+
+
 # ---- sketches
 
 K, W = 15, 100

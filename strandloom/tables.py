@@ -90,6 +90,17 @@ class Graphs:
         return edits.where(F.col("edit").isNotNull()).select("graph_id", "block_id", "node_id", "consensus", edit.alias("edit"))
 
 
+def merge_by_key(left: DataFrame, right: DataFrame, key: list[str], value: str, policy: str | Column = "error") -> DataFrame:
+    """Two key-value tables as one (J10). Of a key in both, ``policy`` takes the left or right value, or
+    an expression of ``left`` and ``right``; by default it is an error, as for graphs that must be disjoint."""
+    joined = left.select(*key, F.struct(F.col(value).alias("v")).alias("a")).join(right.select(*key, F.struct(F.col(value).alias("v")).alias("b")), key, "full_outer")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    rows = joined.select(*key, F.col("a.v").alias("left"), F.col("b.v").alias("right"), F.col("a").isNotNull().alias("__in_a"), both.alias("__both"))
+    taken = {"left": F.col("left"), "right": F.col("right"), "error": F.raise_error(F.concat(F.lit("key in both tables: "), F.concat_ws("/", *key)))}
+    chosen = taken[policy] if isinstance(policy, str) else policy
+    return rows.select(*key, F.when(F.col("__both"), chosen).when(F.col("__in_a"), F.col("left")).otherwise(F.col("right")).alias(value))
+
+
 EDIT_TYPES = {
     "subs": "array<struct<pos:int,alt:string>>",
     "dels": "array<struct<pos:int,len:int>>",

@@ -219,3 +219,14 @@ def test_components_of_long_chains_and_stars(spark):
     assert all(got[0, f"{i:03}"] == "000" for i in range(61))
     assert got[1, "030"] == "030" and got[1, "029"] == "000"
     assert connected_components(v.limit(0), e.limit(0), ["g"]).count() == 0
+
+
+def test_merged_tables(spark):
+    from strandloom.tables import merge_by_key
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
+    assert rows(merge_by_key(a, b, ["k"], "v", "left")) == [(1, "x"), (2, None), (3, "w")]
+    assert rows(merge_by_key(a, b, ["k"], "v", "right")) == [(1, "x"), (2, "z"), (3, "w")]
+    assert rows(merge_by_key(a, b, ["k"], "v", F.coalesce("left", F.lit("new")))) == [(1, "x"), (2, "new"), (3, "w")]
+    with pytest.raises(Exception, match="both tables"):
+        merge_by_key(a, b, ["k"], "v").collect()

@@ -71,8 +71,9 @@ def test_too_few_backbone_blocks_give_no_junctions(make_graph):
 def test_context_depths(make_graph):
     g = make_graph({"s1": "100+ 500+ 500+ 200+", "s2": "100+ 500+ 200+"}, {"100": 1000, "200": 800, "500": 200})
     js = junctions.junctions(g.walks, junctions.backbone(g, 500))
-    segments, _ = junctions.context_links(js, js)
-    assert [r["depth"] for r in segments.collect()] == [3]
+    segments, links = junctions.context_links(js, js, stats.block_stats(g))
+    assert {r["segment"].split("_")[-1]: r["depth"] for r in segments.where("not segment like 'J1%'").collect()} == {"100": 2, "200": 2, "500": 3}
+    assert links.count() == 4
 
 
 @pytest.mark.parametrize(
