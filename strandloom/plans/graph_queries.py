@@ -306,6 +306,12 @@ def q9_unit_walks(g: Graphs) -> DataFrame:
     return synteny.unit_walks(g, synteny.synteny_units(g, core), core)
 
 
+ORACLE["q9_unit_walks"] = f"""WITH RECURSIVE {BASE} {COMPONENTS},
+    hd AS (SELECT graph_id, unit AS block_id, 'MSU_' || (row_number() OVER (PARTITION BY graph_id ORDER BY unit_len DESC, unit) - 1) AS label FROM us)
+    SELECT w.graph_id, path_id, (row_number() OVER (PARTITION BY path_id ORDER BY ord) - 1)::INT AS ord, label, fwd
+    FROM w JOIN hd ON hd.graph_id = w.graph_id AND hd.block_id = w.block_id"""
+
+
 @query("g28_components")
 def g28_components(g: Graphs) -> DataFrame:
     """Blocks linked by any edge of a graph."""
