@@ -54,6 +54,20 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p2_found": r"""
+    WITH d AS (SELECT raw_id, payload FROM graph_docs QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY received_at DESC, payload DESC NULLS LAST) = 1),
+    v AS (SELECT raw_id, payload FROM d WHERE json_valid(payload)),
+    l AS (SELECT v.raw_id, v.payload, t.key AS list, t.fullkey AS list_path, unnest(range(json_array_length(v.payload, t.fullkey)::BIGINT)) AS i
+          FROM v, json_tree(v.payload) t WHERE t.type = 'ARRAY' AND t.key IN ('subs', 'dels', 'inss')),
+    e AS (SELECT *, json_extract(payload, list_path || '[' || i || ']') AS entry,
+                 regexp_extract(list_path, '^(.*\.blocks(?:\."[0-9]+"|\.[0-9]+|\[[0-9]+\]))', 1) AS b,
+                 regexp_extract(list_path, '^(.*\.alignments(?:\."[0-9]+"|\.[0-9]+|\[[0-9]+\]))', 1) AS n FROM l)
+    SELECT raw_id, CASE WHEN b LIKE '%]' THEN json_extract_string(payload, b || '.id') ELSE nullif(regexp_extract(b, '([0-9]+)"?$', 1), '') END AS block_id,
+           CASE WHEN n LIKE '%]' THEN json_extract_string(payload, n || '.node_id') ELSE nullif(regexp_extract(n, '([0-9]+)"?$', 1), '') END AS node_id,
+           CASE list WHEN 'subs' THEN 'sub' WHEN 'dels' THEN 'del' ELSE 'ins' END AS edit_kind, i::INT AS edit_no,
+           json_extract_string(entry, '$.pos')::INT AS edit_pos
+    FROM e WHERE json_type(entry) <> 'NULL'
+    """,
     "p2_typed_edits": """
         WITH n AS (SELECT graph_id, block_id, unnest(map_entries(alignments)) AS e FROM blocks),
         r AS (SELECT graph_id, block_id, e.key AS node_id, e.value AS ed FROM n WHERE e.value IS NOT NULL)
