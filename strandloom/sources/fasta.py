@@ -52,17 +52,24 @@ def read_fasta(spark: SparkSession, paths: Sequence[str], alphabet: str | None =
     packed = [p for p in paths if p.endswith(".xz")]
     parts = []
     if plain:
-        text = spark.read.option("lineSep", "\n>").text(plain).select(F.input_file_name().alias("file"), F.col("value").alias("record"), F.monotonically_increasing_id().alias("at"))
+        text = spark.read.option("lineSep", "\n>").text(plain).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("record"), F.monotonically_increasing_id().alias("at")
+        )
         parts.append(text)
     if packed:
         files = spark.read.format("binaryFile").load(packed).select(F.col("path").alias("file"), "content")
         whole = files.mapInArrow(_unpack, "file string, text string")
-        parts.append(whole.select("file", F.posexplode(F.split("text", "\n>")).alias("at", "record")).select("file", "record", F.col("at").cast("bigint").alias("at")))
+        parts.append(whole.select("file", F.posexplode(F.split("text", "\n>")).alias("at", "record")).select("file", F.lit(0).cast("bigint").alias("block"), "record", F.col("at").cast("bigint").alias("at")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     number = F.element_at(F.create_map(*[x for n, i in ordinal.items() for x in (F.lit(n), F.lit(i))]), F.element_at(F.split(F.regexp_replace("file", "%20", " "), "/"), -1))
     rows = rows.withColumn("record", F.regexp_replace("record", "\r", "")).withColumn("file_no", number)
-    first = F.row_number().over(Window.partitionBy("file_no").orderBy("at")) == 1
-    rows = rows.withColumn("first", first)
+    # a record's place in its file: records of the splits before, and its place in its own split. Only the table
+    # of splits is put in order; the records themselves are never sorted or brought together
+    splits = rows.groupBy("file_no", "block").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    ahead = F.sum("n").over(Window.partitionBy("file_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file_no", "block", "low", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    rows = rows.join(splits, ["file_no", "block"]).withColumn("place", F.col("ahead") + F.col("at") - F.col("low"))
+    rows = rows.withColumn("first", F.col("place") == 0)
     # what precedes the first header of a file is skipped; the reader took the '>' of all other headers
     head = F.regexp_replace("record", "(?s)^\\s*>", "")
     starts = ~F.col("first") | F.col("record").rlike("(?s)^\\s*>")
@@ -74,14 +81,15 @@ def read_fasta(spark: SparkSession, paths: Sequence[str], alphabet: str | None =
     line = F.regexp_extract("body", "^[^\n]*", 0)
     name, rest = F.regexp_extract(line, "^[^ ]*", 0), F.trim(F.regexp_replace(line, "^[^ ]* ?", ""))
     seq = F.upper(F.regexp_replace(F.regexp_replace("body", "^[^\n]*", ""), "[ \t\n]*\n[ \t]*|[ \t]+$", ""))
-    # an index over all files: counts of the files before, then the place within the file
-    out = records.select("file_no", "at", name.alias("seq_name"), F.when(rest != "", rest).alias("descr"), seq.alias("seq"))
-    counts = {r["file_no"]: r["count"] for r in out.groupBy("file_no").count().collect()}
+    out = records.select("file_no", "place", name.alias("seq_name"), F.when(rest != "", rest).alias("descr"), seq.alias("seq"))
+    # an index over all files: records of the files before, then the place within the file
+    counts = {r["file_no"]: (r["n"], r["low"]) for r in out.groupBy("file_no").agg(F.count("*").alias("n"), F.min("place").alias("low")).collect()}
     before, total = {}, 0
     for i in range(len(paths)):
-        before[i], total = total, total + counts.get(i, 0)
+        n, low = counts.get(i, (0, 0))
+        before[i], total = total - low, total + n
     offset = F.element_at(F.create_map(*[x for i, n in before.items() for x in (F.lit(i), F.lit(n))]), F.col("file_no"))
-    index = offset + F.row_number().over(Window.partitionBy("file_no").orderBy("at")) - 1
+    index = offset + F.col("place")
     letters = alphabet if alphabet is not None else LETTERS[:15] + ("\\-" if gaps else "")
     note = F.when(F.col("seq").contains("-"), " (gaps aren't allowed here)").otherwise("")
     error = F.raise_error(F.concat(F.lit("letter outside the alphabet in "), F.col("seq_name"), F.lit(": "), F.regexp_extract("seq", f".{{0,10}}[^{letters}].{{0,10}}", 0), note))

@@ -129,3 +129,15 @@ def test_one_genome_is_its_own_graph(spark):
 def test_realigned_letters():
     e = realign("ACGTACGTACGT", "ACGTTACGACGT")
     assert apply("ACGTACGTACGT", e) == "ACGTTACGACGT"
+
+
+def test_a_file_of_many_splits_keeps_its_order(spark, tmp_path):
+    p = tmp_path / "big.fa"
+    p.write_text("".join(f">r{i} d\n{'ACGT' * (i % 30)}\nACG\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = fasta.read_fasta(spark, [str(p)])
+        assert rows(got.orderBy("rec_index"), "rec_index", "seq_name", "seq") == sorted(((i, f"r{i}", "ACGT" * (i % 30) + "ACG") for i in range(3000)), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
