@@ -159,8 +159,9 @@ def near_pairs(
         ).where("n_windows > 0")
     )
     members = latest.select("rec", "sha").join(classes.select("sha", "class_id", "n_windows"), "sha").select("rec", "class_id", "n_windows")
-    banded = classes.select("class_id", "seq").mapInArrow(
-        _bander(k, weighted, slots, band), "class_id bigint, band int, mark bigint"
+    # the bands are read several times while buckets are counted and joined: signatures are computed once
+    banded = cut_lineage(
+        classes.select("class_id", "seq").mapInArrow(_bander(k, weighted, slots, band), "class_id bigint, band int, mark bigint")
     )
     candidates = bucket_pairs(banded, ["band", "mark"], "class_id")
     sides = candidates.join(classes.select(F.col("class_id").alias("a"), F.col("seq").alias("seq_a")), "a").join(
