@@ -35,10 +35,12 @@ def read_graphs(spark: SparkSession, paths: list[str]) -> Graphs:
     text = lambda c: F.col(c).cast("string")
     try:
         missing = raw.where(F.col("paths").isNull() | F.col("blocks").isNull() | F.col("nodes").isNull()).select("graph_id").head()
+        held = {r[0]: r[1] for r in raw.groupBy("graph_id").count().collect()}
     except Exception as e:
         raise GraphLoadError(f"broken JSON: {str(e)[:200]}") from e
-    if missing:
-        raise GraphLoadError(f"no graph: {paths[missing[0]]}")
+    lacking = [p for i, p in enumerate(paths) if held.get(i) != 1]
+    if missing or lacking:
+        raise GraphLoadError(f"no graph: {paths[missing[0]] if missing else lacking[0]}")
     p = raw.select("graph_id", F.explode("paths").alias("key", "v")).select(
         text("v.id").alias("path_id"), "graph_id", F.transform("v.nodes", lambda n: n.cast("string")).alias("nodes"), "v.tot_len", "v.circular",
         F.col("v.name").alias("path_name"), F.col("v.desc").alias("descr"), F.lit(None).cast("timestamp_ntz").alias("loaded_at"),
