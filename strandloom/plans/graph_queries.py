@@ -13,6 +13,7 @@ from strandloom.functions import edits as ed
 from strandloom.functions import seq as sq
 from strandloom.operators import consensus, junctions, quality, sequences, stats, synteny, walks
 from strandloom.operators.components import connected_components
+from strandloom.session import cut_lineage
 from strandloom.tables import Graphs
 
 QUERIES: dict = {}
@@ -314,13 +315,10 @@ ORACLE["q9_unit_walks"] = f"""WITH RECURSIVE {BASE} {COMPONENTS},
 
 @query("g28_components")
 def g28_components(g: Graphs) -> DataFrame:
-    """Blocks linked by any edge of a graph."""
-    links = walks.graph_links(g.walks).where("count >= 2")
-    return connected_components(
-        g.walks.select("graph_id", F.col("block_id").alias("vertex")),
-        links.select("graph_id", F.col("block_1").alias("a"), F.col("block_2").alias("b")),
-        ["graph_id"],
-    )
+    """Blocks linked by any edge of a graph, however often it occurs."""
+    places = cut_lineage(g.walks.select("graph_id", "path_id", "circular", "ord", "block_id", "fwd"))
+    links = walks.graph_links(places).select("graph_id", F.col("block_1").alias("a"), F.col("block_2").alias("b"))
+    return connected_components(places.select("graph_id", F.col("block_id").alias("vertex")), cut_lineage(links.distinct()), ["graph_id"])
 
 
 ORACLE["g28_components"] = f"""WITH RECURSIVE {BASE}, {STEPS}, {LINKS},

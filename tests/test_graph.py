@@ -188,3 +188,10 @@ def test_core_alignment_follows_the_guide(make_graph):
     g = make_graph({"s1": "10+ 30+ 20+", "s2": "20- 40- 10-"}, {"10": "AAACCC", "20": "GGGAAA", "30": "TTC", "40": "ACG"}, edits={6: {"subs": [{"pos": 0, "alt": "T"}], "dels": [], "inss": []}})
     found = dict(rows(sequences.core_alignment(g, junctions.backbone(g, 4)), "path_name", "seq"))
     assert found == {"s1": "AAACCCGGGAAA", "s2": "TAACCCGGGAAA"}
+
+
+def test_components_follow_links_that_occur_once(make_graph):
+    from strandloom.plans.graph_queries import g28_components
+
+    g = make_graph({"s1": "1+ 2+", "s2": "3+ 2-", "s3": "4+"}, dict.fromkeys("1234", 9), circular=False)
+    assert rows(g28_components(g), "vertex", "component") == [("1", "1"), ("2", "1"), ("3", "1"), ("4", "4")]
