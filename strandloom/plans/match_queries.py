@@ -254,17 +254,25 @@ _INTERVALS = """
 """
 
 
-def _hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    g = Graphs.load(spark, folder)
-    hits = g.walks.where("ord % 3 = 0 AND pos_end > pos_start AND NOT circular")
-    lengths = g.paths.where("NOT circular").select(F.col("path_id").alias("block"), F.col("tot_len").alias("len"))
-    return hits.select(F.col("path_id").alias("block"), F.col("pos_start").alias("start"), F.col("pos_end").alias("end")), lengths
+def node_hits(g: Graphs) -> tuple[DataFrame, DataFrame]:
+    """Places of all nodes on their paths, and the paths' lengths.
+
+    A node over the origin of a circular path is two hits; one that is the whole circle may begin
+    where it ends. Other nodes without letters are no hit.
+    """
+    lengths = g.paths.select(F.col("path_id").alias("block"), F.col("tot_len").alias("len"), (F.size("nodes") == 1).alias("alone"))
+    places = g.walks.select(F.col("path_id").alias("block"), "circular", F.col("pos_start").alias("start"), F.col("pos_end").alias("end")).join(lengths, "block")
+    wraps = F.col("circular") & ((F.col("end") < F.col("start")) | ((F.col("end") == F.col("start")) & F.col("alone")))
+    part = lambda a, b: F.struct(F.col(a).alias("start") if a else F.lit(0).cast("bigint").alias("start"), F.col(b).alias("end"))
+    parts = F.when(wraps, F.array(part("start", "len"), part(None, "end"))).otherwise(F.array(part("start", "end")))
+    hits = places.select("block", F.explode(parts).alias("p")).select("block", "p.start", "p.end")
+    return hits.where(F.col("end") > F.col("start")), lengths.drop("alone")
 
 
 @query("w5_block_intervals", f'WITH {BASE}, {_HITS}, {_INTERVALS} SELECT block, start, "end", aligned FROM iv')
 def w5_block_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    """Linear paths divided into every third node and the gaps between."""
-    return mt.block_intervals(*_hits(spark, folder))
+    """All paths divided into their nodes and the gaps between."""
+    return mt.block_intervals(*node_hits(Graphs.load(spark, folder)))
 
 
 @query(
@@ -279,7 +287,7 @@ def w5_block_intervals(spark: SparkSession, folder: str) -> DataFrame:
 )
 def w6_refined_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """The same with gaps under 400 letters given to their longer neighbour."""
-    return mt.refine_intervals(mt.block_intervals(*_hits(spark, folder)), 400)
+    return mt.refine_intervals(mt.block_intervals(*node_hits(Graphs.load(spark, folder))), 400)
 
 
 _MATCH_SQL = """SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_suppkey, 'p' || l_partkey AS q_name, 'p' || l_suppkey AS r_name, 200 + l_partkey % 300 AS q_len, 200 + l_suppkey % 300 AS r_len,

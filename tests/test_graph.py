@@ -195,3 +195,23 @@ def test_components_follow_links_that_occur_once(make_graph):
 
     g = make_graph({"s1": "1+ 2+", "s2": "3+ 2-", "s3": "4+"}, dict.fromkeys("1234", 9), circular=False)
     assert rows(g28_components(g), "vertex", "component") == [("1", "1"), ("2", "1"), ("3", "1"), ("4", "4")]
+
+
+@pytest.mark.parametrize("circular", [True, False])
+def test_intervals_hold_every_node_of_every_path(make_graph, circular):
+    from strandloom.operators.matches import block_intervals
+    from strandloom.plans.match_queries import node_hits
+
+    g = make_graph({"s1": "1+ 2+ 3- 1+", "s2": "2+"}, {"1": 10, "2": 20, "3": 5}, circular=circular)
+    want = [("1", 0, 10, True), ("1", 10, 30, True), ("1", 30, 35, True), ("1", 35, 45, True), ("2", 0, 20, True)]
+    assert rows(block_intervals(*node_hits(g)), "block", "start", "end", "aligned") == want
+
+
+def test_intervals_of_a_node_over_the_origin(spark, make_graph):
+    from strandloom.operators.matches import block_intervals
+    from strandloom.plans.match_queries import node_hits
+
+    g = make_graph({"s1": "1+ 2+"}, {"1": 10, "2": 20})
+    g.walks = g.walks.withColumns({"pos_start": (F.col("pos_start") + 15) % 30, "pos_end": (F.when(F.col("pos_end") == 0, 30).otherwise(F.col("pos_end")) + 15) % 30})
+    want = [("1", 0, 15, True), ("1", 15, 25, True), ("1", 25, 30, True)]
+    assert rows(block_intervals(*node_hits(g)), "block", "start", "end", "aligned") == want
