@@ -57,21 +57,41 @@ def shared_words(q: str, r: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray
 
 
 def chains(qa: np.ndarray, ra: np.ndarray, k: int, gap: int) -> list[list[int]]:
-    """Anchors in chains that rise on both sequences, best chain first; an anchor is in one chain."""
+    """Anchors in chains that rise on both sequences, best chain first; an anchor is in one chain.
+
+    Every anchor within ``gap`` letters on both sides can be the one before. On one diagonal the
+    nearest is the best, and what lies before that one too is no better than by way of it, so only
+    anchors between the two are left to look at: few, unless nothing is near on the diagonal.
+    """
     order = np.lexsort((qa, ra))
-    q, r = qa[order], ra[order]
+    q, r = qa[order].astype(np.int64), ra[order].astype(np.int64)
     n = len(q)
     best, back = np.full(n, float(k)), np.full(n, -1)
-    for i in range(1, n):
-        a = max(0, i - 200)
-        dq, dr = q[i] - q[a:i], r[i] - r[a:i]
-        ok = (dq > 0) & (dr > 0) & (dq <= gap) & (dr <= gap)
-        if ok.any():
-            gain = np.minimum(np.minimum(dq, dr), k) - 0.05 * np.abs(dq - dr) - 0.5 * (dq != dr)
-            total = np.where(ok, best[a:i] + gain, -np.inf)
-            j = int(np.argmax(total))
-            if total[j] > best[i]:
-                best[i], back[i] = total[j], a + j
+    by_q = np.lexsort((r, q))
+    q_sorted = q[by_q]
+    near = np.full(n, -1)  # the anchor before on the same diagonal
+    by_diagonal = np.lexsort((r, q - r))
+    x, y = by_diagonal[:-1], by_diagonal[1:]
+    close = ((q - r)[x] == (q - r)[y]) & (r[y] - r[x] <= gap)
+    near[y[close]] = x[close]
+    from_q, from_r = np.where(near >= 0, q[near], q - gap), np.where(near >= 0, r[near], r - gap)
+    r_low, r_high = np.searchsorted(r, from_r, "left"), np.searchsorted(r, r, "left")
+    q_low, q_high = np.searchsorted(q_sorted, from_q, "left"), np.searchsorted(q_sorted, q, "left")
+    for i in range(n):
+        j = int(near[i])
+        if j >= 0:
+            best[i], back[i] = max(best[i], best[j] + min(int(r[i] - r[j]), k)), j
+        for at in (np.arange(r_low[i], r_high[i]), by_q[q_low[i] : q_high[i]]) if j >= 0 else (np.arange(r_low[i], r_high[i]),):
+            if not len(at):
+                continue
+            dq, dr = q[i] - q[at], r[i] - r[at]
+            ok = (dq > 0) & (dr > 0) & (dq <= gap) & (dr <= gap)
+            if ok.any():
+                gain = np.minimum(np.minimum(dq, dr), k) - 0.05 * np.abs(dq - dr) - 0.5 * (dq != dr)
+                total = np.where(ok, best[at] + gain, -np.inf)
+                t = int(np.argmax(total))
+                if total[t] > best[i]:
+                    best[i], back[i] = total[t], at[t]
     used = np.zeros(n, dtype=bool)
     out = []
     for i in np.argsort(-best, kind="stable").tolist():
