@@ -21,10 +21,11 @@ from strandloom.operators.sketch import minimizers, sketch
 from strandloom.session import ship
 
 #: Sensitivity presets: (word, stretch of words that one minimizer stands for, longest gap in a chain).
-#: At 10 % divergence a word of 15 letters is whole with probability 0.2, so related letters without an
-#: anchor for longer than such a gap are no match; long indels divide matches anyhow.
-PRESETS = {"5": (19, 19, 250), "10": (15, 10, 300), "20": (13, 6, 400)}
+#: The gap is the reference's. Unrelated stretches inside a gap divide a chain by the fall of their score.
+PRESETS = {"5": (19, 19, 10_000), "10": (15, 10, 10_000), "20": (13, 6, 10_000)}
 DROP = 40
+#: Fall of the score inside a gap that divides a chain; the indel that the gap needs anyway costs nothing.
+GAP_DROP = 200
 
 _COMPLEMENT = str.maketrans(LETTERS, COMPLEMENTS)
 
@@ -108,15 +109,43 @@ def chains(qa: np.ndarray, ra: np.ndarray, k: int, gap: int) -> list[list[int]]:
 def _extension(a: np.ndarray, b: np.ndarray) -> int:
     """Letters by which an end grows without gaps until the score is DROP below its best."""
     n = min(len(a), len(b))
-    if not n:
-        return 0
-    total = np.cumsum(np.where((a[:n] & b[:n]) > 0, 1, -4))
-    top = np.maximum.accumulate(np.maximum(total, 0))
-    stop = np.flatnonzero(top - total > DROP)
+    size = 1000
+    while True:  # most ends stop soon, so few letters are looked at first
+        m = min(n, size)
+        total = np.cumsum(np.where((a[:m] & b[:m]) > 0, 1, -4))
+        top = np.maximum.accumulate(np.maximum(total, 0))
+        stop = np.flatnonzero(top - total > DROP)
+        if len(stop) or m == n:
+            break
+        size *= 8
     total = total[: stop[0]] if len(stop) else total
     return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
 
 
+def _falls(a: np.ndarray, b: np.ndarray, ops: list[tuple[str, int]]) -> bool:
+    """Whether the score of aligned letters (reference, query) falls by more than GAP_DROP below its best."""
+    needed = abs(len(a) - len(b))
+    longer = "D" if len(a) > len(b) else "I"
+    i = j = score = best = 0
+    for op, n in ops:
+        if op == "M":
+            total = score + np.cumsum(np.where((a[i : i + n] & b[j : j + n]) > 0, 1, -4))
+            top = np.maximum.accumulate(np.maximum(total, best))
+            if (top - total).max() > GAP_DROP:
+                return True
+            score, best = int(total[-1]), int(top[-1])
+            i, j = i + n, j + n
+            continue
+        free = min(n, needed) if op == longer else 0
+        needed -= free
+        if n > free:
+            score -= min(6 + 2 * (n - free), 26 + n - free)
+        if best - score > GAP_DROP:
+            return True
+        i, j = i + n * (op == "D"), j + n * (op == "I")
+    return False
+
+
 def _push(ops: list[list], op: str, n: int) -> None:
     if n <= 0:
         return
@@ -126,14 +155,39 @@ def _push(ops: list[list], op: str, n: int) -> None:
         ops.append([op, n])
 
 
-def chain_match(q: str, r: str, qa: np.ndarray, ra: np.ndarray, chain: list[int], k: int) -> dict:
-    """The match of one chain on two sequences of the same direction."""
-    mq, mr = letter_masks(q), letter_masks(r)
+def chain_matches(q: str, r: str, mq: np.ndarray, mr: np.ndarray, qa: np.ndarray, ra: np.ndarray, chain: list[int], k: int) -> list[dict]:
+    """The matches of one chain on two sequences of the same direction, divided where a gap holds unrelated letters.
+
+    ``mq`` and ``mr`` are the letter masks of the sequences.
+    """
+    out: list[dict] = []
     ops: list[list] = []
-    qs, rs = int(qa[chain[0]]), int(ra[chain[0]])
-    grown = _extension(mq[:qs][::-1], mr[:rs][::-1])
-    qs, rs = qs - grown, rs - grown
-    qe, re_ = qs, rs
+    qs = rs = qe = re_ = 0
+
+    def begin(x: int, y: int) -> None:
+        nonlocal ops, qs, rs, qe, re_
+        grown = _extension(mq[qe:x][::-1], mr[re_:y][::-1])  # not into the match before
+        ops, qs, rs = [], x - grown, y - grown
+        qe, re_ = qs, rs
+
+    def close(x: int, y: int) -> None:
+        nonlocal qe, re_
+        grown = _extension(mq[qe:x], mr[re_:y])
+        _push(ops, "M", grown)
+        qe, re_ = qe + grown, re_ + grown
+        i, j, equal, aligned = qs, rs, 0, 0
+        for op, n in ops:
+            if op == "M":
+                equal += int(((mq[i : i + n] & mr[j : j + n]) > 0).sum())
+                aligned += n
+            i += n if op in "MI" else 0
+            j += n if op in "MD" else 0
+        out.append({
+            "q_start": qs, "q_end": qe, "r_start": rs, "r_end": re_, "matches": aligned, "length": sum(n for _, n in ops), "quality": 60,
+            "cigar": [{"op": o, "len": n} for o, n in ops], "divergence": 1 - equal / aligned if aligned else 1.0,
+        })
+
+    begin(int(qa[chain[0]]), int(ra[chain[0]]))
     for c in chain:
         x, y = int(qa[c]), int(ra[c])
         if x + k <= qe or y + k <= re_:
@@ -150,24 +204,17 @@ def chain_match(q: str, r: str, qa: np.ndarray, ra: np.ndarray, chain: list[int]
             if dq == dr and dq < 4 * k:
                 _push(ops, "M", dq)
             else:
-                for op, m in align(r[re_:y], q[qe:x], 0, abs(dq - dr)):
+                between = align(r[re_:y], q[qe:x], 0, abs(dq - dr))
+                if _falls(mr[re_:y], mq[qe:x], between):
+                    close(x, y)
+                    begin(x, y)
+                    between = [("M", x - qe)]
+                for op, m in between:
                     _push(ops, op, m)
         _push(ops, "M", n)
         qe, re_ = x + n, y + n
-    grown = _extension(mq[qe:], mr[re_:])
-    _push(ops, "M", grown)
-    qe, re_ = qe + grown, re_ + grown
-    i, j, equal, aligned = qs, rs, 0, 0
-    for op, n in ops:
-        if op == "M":
-            equal += int(((mq[i : i + n] & mr[j : j + n]) > 0).sum())
-            aligned += n
-        i += n if op in "MI" else 0
-        j += n if op in "MD" else 0
-    return {
-        "q_start": qs, "q_end": qe, "r_start": rs, "r_end": re_, "matches": aligned, "length": sum(n for _, n in ops), "quality": 60,
-        "cigar": [{"op": o, "len": n} for o, n in ops], "divergence": 1 - equal / aligned if aligned else 1.0,
-    }
+    close(len(q), len(r))
+    return out
 
 
 def pair_matches(q: str, r: str, k: int, w: int, gap: int, least: int) -> list[dict]:
@@ -176,18 +223,19 @@ def pair_matches(q: str, r: str, k: int, w: int, gap: int, least: int) -> list[d
     for forward in (True, False):
         s = q if forward else reverse_complement(q)
         qa, ra = shared_words(s, r, k, w)
+        mq, mr = letter_masks(s), letter_masks(r)
         done: list[dict] = []
         for chain in chains(qa, ra, k, gap):
             a, b = chain[0], chain[-1]
             if any(m["q_start"] <= qa[a] and qa[b] + k <= m["q_end"] and m["r_start"] <= ra[a] and ra[b] + k <= m["r_end"] for m in done):
                 continue  # what a better chain left over of its own stretch
-            m = chain_match(s, r, qa, ra, chain, k)
-            if m["matches"] < least:
-                continue
-            done.append(dict(m))
-            if not forward:
-                m["q_start"], m["q_end"] = len(q) - m["q_end"], len(q) - m["q_start"]
-            out.append(m | {"forward": forward, "q_len": len(q), "r_len": len(r)})
+            for m in chain_matches(s, r, mq, mr, qa, ra, chain, k):
+                if m["matches"] < least:
+                    continue
+                done.append(dict(m))
+                if not forward:
+                    m["q_start"], m["q_end"] = len(q) - m["q_end"], len(q) - m["q_start"]
+                out.append(m | {"forward": forward, "q_len": len(q), "r_len": len(r)})
     return out
 
 

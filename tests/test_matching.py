@@ -32,3 +32,32 @@ def test_best_chain_equals_that_of_all_pairs(seed):
     chain = [points[i] for i in matching.chains(*np.array(points).T, k, gap)[0]]
     score = k + sum(_gain(b[0] - a[0], b[1] - a[1], k) for a, b in zip(chain, chain[1:]))
     assert score == pytest.approx(max(best))
+
+
+def _dna(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def _diverged(seq, every):
+    """Every so many letters one is changed, so no word of that length is left."""
+    return "".join("ACGT"["TACG".index(c)] if i % every == every // 2 else c for i, c in enumerate(seq))
+
+
+def test_a_diverged_stretch_without_anchors_stays_in_one_match():
+    rng = random.Random(2)
+    left, middle, right = _dna(rng, 200), _dna(rng, 420), _dna(rng, 200)
+    between = _diverged(middle[:210], 10) + "ACGTA" + _diverged(middle[210:], 10)  # no end grows over an indel
+    found = matching.pair_matches(left + middle + right, left + between + right, *matching.PRESETS["10"], 100)
+    assert [(m["q_start"], m["q_end"], m["r_start"], m["r_end"]) for m in found] == [(0, 820, 0, 825)]
+
+
+def test_an_unrelated_stretch_divides_a_match():
+    rng = random.Random(3)
+    left, right = _dna(rng, 200), _dna(rng, 200)
+    q, r = left + _dna(rng, 900) + right, left + _dna(rng, 900) + right
+    found = sorted(matching.pair_matches(q, r, *matching.PRESETS["10"], 100), key=lambda m: m["q_start"])
+    assert [(m["q_start"] < 5, m["q_start"] > 1050) for m in found] == [(True, False), (False, True)]
+    assert all(195 <= m["matches"] <= 240 for m in found)
+    for m in found:
+        assert sum(o["len"] for o in m["cigar"] if o["op"] in "MI") == m["q_end"] - m["q_start"]
+        assert sum(o["len"] for o in m["cigar"] if o["op"] in "MD") == m["r_end"] - m["r_start"]
