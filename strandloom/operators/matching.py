@@ -217,22 +217,59 @@ def chain_matches(q: str, r: str, mq: np.ndarray, mr: np.ndarray, qa: np.ndarray
     return out
 
 
+class _Taken:
+    """Places of both sequences that matches so far align, by diagonal (query place less reference place)."""
+
+    def __init__(self) -> None:
+        self.runs: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, m: dict) -> None:
+        for diagonal, a, b in self._runs(m):
+            self.runs.setdefault(diagonal, []).append((a, b))
+
+    def holds(self, x: int, y: int, n: int) -> bool:
+        return any(a <= x and x + n <= b for a, b in self.runs.get(x - y, ()))
+
+    def new(self, m: dict) -> int:
+        """Aligned letters of a match that no match so far aligns to the same letters."""
+        total = 0
+        for diagonal, a, b in self._runs(m):
+            free = np.ones(b - a, dtype=bool)
+            for c, d in self.runs.get(diagonal, ()):
+                free[max(c - a, 0) : max(d - a, 0)] = False
+            total += int(free.sum())
+        return total
+
+    @staticmethod
+    def _runs(m: dict) -> Iterator[tuple[int, int, int]]:
+        i, j = m["q_start"], m["r_start"]
+        for o in m["cigar"]:
+            if o["op"] == "M":
+                yield i - j, i, i + o["len"]
+            i += o["len"] if o["op"] in "MI" else 0
+            j += o["len"] if o["op"] in "MD" else 0
+
+
 def pair_matches(q: str, r: str, k: int, w: int, gap: int, least: int) -> list[dict]:
-    """All matches of ``least`` aligned letters and more of a pair, in both directions."""
+    """All matches of ``least`` aligned letters and more of a pair, in both directions.
+
+    A match needs so many letters that no better one aligns to the same letters; a repeat at other
+    places inside a better match is a match of its own.
+    """
     out = []
     for forward in (True, False):
         s = q if forward else reverse_complement(q)
         qa, ra = shared_words(s, r, k, w)
         mq, mr = letter_masks(s), letter_masks(r)
-        done: list[dict] = []
+        taken = _Taken()
         for chain in chains(qa, ra, k, gap):
-            a, b = chain[0], chain[-1]
-            if any(m["q_start"] <= qa[a] and qa[b] + k <= m["q_end"] and m["r_start"] <= ra[a] and ra[b] + k <= m["r_end"] for m in done):
-                continue  # what a better chain left over of its own stretch
+            chain = [c for c in chain if not taken.holds(int(qa[c]), int(ra[c]), k)]
+            if not chain:
+                continue  # what a better chain left over on its own path
             for m in chain_matches(s, r, mq, mr, qa, ra, chain, k):
-                if m["matches"] < least:
+                if m["matches"] < least or taken.new(m) < least:
                     continue
-                done.append(dict(m))
+                taken.add(m)
                 if not forward:
                     m["q_start"], m["q_end"] = len(q) - m["q_end"], len(q) - m["q_start"]
                 out.append(m | {"forward": forward, "q_len": len(q), "r_len": len(r)})

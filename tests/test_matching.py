@@ -61,3 +61,21 @@ def test_an_unrelated_stretch_divides_a_match():
     for m in found:
         assert sum(o["len"] for o in m["cigar"] if o["op"] in "MI") == m["q_end"] - m["q_start"]
         assert sum(o["len"] for o in m["cigar"] if o["op"] in "MD") == m["r_end"] - m["r_start"]
+
+
+def test_a_repeat_inside_a_better_match_is_a_match_of_its_own():
+    rng = random.Random(5)
+    repeat = _dna(rng, 200)
+    q = _dna(rng, 100) + repeat + _dna(rng, 300) + repeat + _dna(rng, 200)
+    found = matching.pair_matches(q, q, *matching.PRESETS["10"], 100)
+    places = sorted((m["q_start"], m["r_start"], m["matches"]) for m in found)
+    assert len(places) == 3 and places[0] == (0, 0, 1000)
+    for (q_start, r_start, n), (x, y) in zip(places[1:], [(100, 600), (600, 100)]):
+        assert abs(q_start - x) < 5 and abs(r_start - y) < 5 and 200 <= n < 215
+
+
+def test_a_match_is_not_repeated_by_what_it_left_over():
+    rng = random.Random(6)
+    q = _dna(rng, 3000)
+    r = "".join(rng.choice("ACGT") if rng.random() < 0.06 else c for c in q)
+    assert len(matching.pair_matches(q, r[:1000] + r[1010:2000] + "ACG" + r[2000:], *matching.PRESETS["10"], 100)) == 1
