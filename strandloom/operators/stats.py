@@ -108,9 +108,10 @@ def duplicate_names(g: Graphs) -> DataFrame:
     return named.groupBy("graph_id", "path_name").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def project(g: Graphs, names: list[str]) -> DataFrame:
-    """Paths with one of the names; unknown names are ignored, unnamed paths are left out (F8)."""
-    return g.paths.where(F.col("path_name").isin(names)).select("graph_id", "path_id", "path_name")
+def project(g: Graphs, names: list[str] | DataFrame) -> DataFrame:
+    """Paths with one of the names, a list or a table of path_name; unknown names are ignored, unnamed paths are left out (F8)."""
+    named = g.paths.where(F.col("path_name").isin(names)) if isinstance(names, list) else g.paths.join(names, "path_name", "left_semi")
+    return named.select("graph_id", "path_id", "path_name")
 
 
 def longest_block(g: Graphs) -> DataFrame:

@@ -150,10 +150,13 @@ def g1_singletons(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {BASE} SELECT graph_id, path_id, path_name FROM pt WHERE path_name IN (SELECT path_name FROM pt WHERE path_name IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 3)",
 )
 def f8_projected_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of three names: the projection takes a list of names."""
+    """Paths of all names in the tables: the projection takes a list or a table of names."""
     g = Graphs.load(spark, folder)
-    names = [r[0] for r in g.paths.where("path_name IS NOT NULL").select("path_name").distinct().orderBy("path_name").limit(3).collect()]
-    return stats.project(g, names)
+    return stats.project(g, path_names(g))
+
+
+def path_names(g: Graphs) -> DataFrame:
+    return g.paths.where("path_name IS NOT NULL").select("path_name").distinct()
 
 
 @query(

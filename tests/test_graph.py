@@ -215,3 +215,12 @@ def test_intervals_of_a_node_over_the_origin(spark, make_graph):
     g.walks = g.walks.withColumns({"pos_start": (F.col("pos_start") + 15) % 30, "pos_end": (F.when(F.col("pos_end") == 0, 30).otherwise(F.col("pos_end")) + 15) % 30})
     want = [("1", 0, 15, True), ("1", 15, 25, True), ("1", 25, 30, True)]
     assert rows(block_intervals(*node_hits(g)), "block", "start", "end", "aligned") == want
+
+
+def test_projection_on_all_names(make_graph):
+    from strandloom.plans.match_queries import path_names
+
+    names = [f"s{i}" for i in range(5)]
+    g = make_graph(dict.fromkeys(names, "1+"), {"1": 9})
+    assert {r["path_name"] for r in stats.project(g, path_names(g)).collect()} == set(names)
+    assert stats.project(g, names[:2]).count() == 2
