@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions.edits import reverse_edit, shift_edit
 from strandloom.functions.seq import reverse_complement
-from strandloom.operators.components import MOST_ROUNDS, connected_components
+from strandloom.operators.components import connected_components
 from strandloom.operators.walks import along_path, transitive_edges
 from strandloom.session import cut_lineage
 from strandloom.tables import EDIT_TYPE, EDIT_TYPES, Graphs
@@ -39,7 +39,7 @@ def chains(g: Graphs, edges: DataFrame) -> DataFrame:
     cut = F.col("cycle") & (((F.col("y.block_id") == least) & F.col("y.fwd")) | ((F.col("x.block_id") == least) & ~F.col("x.fwd")))
     linked = linked.select("graph_id", "component", "x", F.when(~cut, F.col("y")).alias("nxt"))
     ranked = cut_lineage(linked.withColumns({"end": F.coalesce("nxt", "x"), "rank": F.when(F.col("nxt").isNotNull(), 1).otherwise(0)}))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(64):  # ranks double: 2^64 blocks
         hop = ranked.select("graph_id", F.col("x").alias("nxt"), F.col("nxt").alias("further"), F.col("end").alias("far_end"), F.col("rank").alias("more"))
         ranked = cut_lineage(
             ranked.join(hop, ["graph_id", "nxt"], "left").select(
@@ -48,6 +48,8 @@ def chains(g: Graphs, edges: DataFrame) -> DataFrame:
         )
         if not ranked.where(F.col("nxt").isNotNull()).limit(1).count():
             break
+    else:
+        raise RuntimeError("a chain has no end")
     # each component is ranked twice, once in each direction; the direction of its anchor decides
     sized = ranked.select("graph_id", "component", "end", "rank", F.col("x.block_id").alias("block_id"), F.col("x.fwd").alias("fwd")).join(g.block_lengths, ["graph_id", "block_id"])
     # structs order by length, then by the least id: ids are compared as numbers in reverse

@@ -6,14 +6,14 @@ f: filter, g: graph, x: sequence, m: match). All graphs of the tables are answer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import edits as ed
 from strandloom.functions import seq as sq
 from strandloom.operators import consensus, junctions, quality, sequences, stats, synteny, walks
 from strandloom.operators.components import connected_components
-from strandloom.session import cut_lineage
+from strandloom.session import cut_lineage, read_table
 from strandloom.tables import Graphs
 
 QUERIES: dict = {}
@@ -322,11 +322,25 @@ def g28_components(g: Graphs) -> DataFrame:
 
 
 ORACLE["g28_components"] = f"""WITH RECURSIVE {BASE}, {STEPS}, {LINKS},
-    ud AS (SELECT DISTINCT graph_id, block_1 AS a, block_2 AS b FROM gl WHERE count >= 2
-           UNION SELECT graph_id, block_2, block_1 FROM gl WHERE count >= 2),
+    ud AS (SELECT DISTINCT graph_id, block_1 AS a, block_2 AS b FROM gl UNION SELECT graph_id, block_2, block_1 FROM gl),
     rch AS (SELECT DISTINCT graph_id, block_id AS v, block_id AS u FROM w UNION SELECT r.graph_id, r.v, ud.b FROM rch r JOIN ud ON ud.graph_id = r.graph_id AND ud.a = r.u)
     SELECT graph_id, v AS vertex, min(u) AS component FROM rch GROUP BY ALL"""
 
+
+def g28_order_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of chains of scattered ids: each order is linked to the order of the next number."""
+    scattered = lambda c: F.md5(c.cast("string"))
+    orders = read_table(spark, folder, "orders").select(F.lit(0).alias("all"), F.col("o_orderkey").alias("k"))
+    links = orders.select("all", scattered(F.col("k")).alias("a"), scattered(F.col("k") + 1).alias("b"))
+    return connected_components(orders.select("all", scattered(F.col("k")).alias("vertex")), links, ["all"]).select("vertex", "component")
+
+
+QUERIES["g28_order_chain"] = g28_order_chain
+ORACLE["g28_order_chain"] = """
+    WITH o AS (SELECT DISTINCT o_orderkey AS k, md5(o_orderkey::VARCHAR) AS vertex FROM orders),
+    i AS (SELECT *, k - row_number() OVER (ORDER BY k) AS island FROM o)
+    SELECT vertex, min(vertex) OVER (PARTITION BY island) AS component FROM i"""
+
 # ---- sequences
 
 

@@ -221,6 +221,54 @@ def test_components_of_long_chains_and_stars(spark):
     assert connected_components(v.limit(0), e.limit(0), ["g"]).count() == 0
 
 
+def _least_of_components(edges, vertices):
+    up = {v: v for v in vertices}
+
+    def top(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for g, a, b in edges:
+        x, y = top((g, a)), top((g, b))
+        up[max(x, y)] = min(x, y)
+    return {v: top(v)[1] for v in vertices}
+
+
+@pytest.mark.parametrize("length, at_once, most", [(1_000, 500_000, 1), (100_000, 20_000, 12)])
+def test_components_of_shuffled_random_ids(spark, monkeypatch, length, at_once, most):
+    from strandloom.operators import components
+
+    monkeypatch.setattr(components, "FOREST_EDGES", at_once)
+    rng = random.Random(length)
+    chain = [str(rng.getrandbits(64)) for _ in range(length)]
+    edges = [(0, a, b) for a, b in zip(chain, chain[1:], strict=False)]
+    side = [[str(rng.getrandbits(64)) for _ in range(20)] for _ in range(20)]  # a grid
+    edges += [(1, side[i][j], side[i - 1][j]) for i in range(1, 20) for j in range(20)] + [(1, side[i][j], side[i][j - 1]) for i in range(20) for j in range(1, 20)]
+    edges += [(2, a, b) for a, b in zip(chain[:500], chain[1:500] + chain[:1], strict=False)]  # a cycle
+    edges += [(3, chain[0], x) for x in chain[1:800]]  # a star
+    edges += [(4, rng.choice(chain[:900]), rng.choice(chain[:900])) for _ in range(500)]
+    vertices = list({(g, x) for g, a, b in edges for x in (a, b)})
+    rng.shuffle(edges)
+    log: list = []
+    e, v = spark.createDataFrame(edges, "g int, a string, b string").repartition(8), spark.createDataFrame(vertices, "g int, vertex string")
+    got = {(r["g"], r["vertex"]): r["component"] for r in connected_components(v, e, ["g"], log).collect()}
+    assert got == _least_of_components(edges, vertices)
+    assert len(log) <= most
+
+
+def test_components_of_numbers_and_unfinished_rounds(spark, monkeypatch):
+    from strandloom.operators import components
+
+    e = spark.createDataFrame([("x", 2, 10), ("x", 10, 9), ("y", 10, 2)], "g string, a long, b long")
+    v = spark.createDataFrame([("x", i) for i in (2, 9, 10)] + [("y", 2), ("y", 10)], "g string, vertex long")
+    assert rows(connected_components(v, e, ["g"])) == [("x", 10, 2), ("x", 2, 2), ("x", 9, 2), ("y", 10, 2), ("y", 2, 2)]
+    monkeypatch.setattr(components, "MOST_ROUNDS", 0)
+    with pytest.raises(RuntimeError, match="unfinished"):
+        connected_components(v, e, ["g"])
+
+
 def test_merged_tables(spark):
     from strandloom.tables import merge_by_key
 
