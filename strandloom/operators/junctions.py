@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators.stats import block_stats
+from strandloom.operators.stats import stats_with_paths
 from strandloom.operators.walks import along_path, oriented, text_canonical
 from strandloom.tables import Graphs
 
@@ -16,8 +16,7 @@ CORE_LENGTH = 500
 def backbone(g: Graphs, min_len: int = CORE_LENGTH, predicate: Column | None = None) -> DataFrame:
     """Blocks of the backbone: core ones of ``min_len`` and more letters, or those that ``predicate`` selects."""
     chosen = F.col("core") if predicate is None else predicate
-    n = g.walks.groupBy("graph_id").agg(F.countDistinct("path_id").alias("n_paths"))
-    return block_stats(g).join(n, "graph_id").where(chosen & (F.col("len") >= min_len)).select("graph_id", "block_id", "len")
+    return stats_with_paths(g).where(chosen & (F.col("len") >= min_len)).select("graph_id", "block_id", "len")
 
 
 def split_walks(walks: DataFrame, core: DataFrame) -> DataFrame:

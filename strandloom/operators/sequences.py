@@ -84,14 +84,19 @@ def core_alignment(g: Graphs, core: DataFrame | None = None, guide: dict[int, st
     return g.paths.join(joined, ["graph_id", "path_id"], "left").select("graph_id", "path_id", "path_name", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
-def shared_segments(g: Graphs, min_len: int = 0) -> DataFrame:
+def shared_segments(g: Graphs, min_len: int = 0, paths: tuple[str, str] | None = None) -> DataFrame:
     """Dotplot geometry: pairs of places of two paths of a graph with one block.
 
-    Circular places that wrap the origin are divided into two in proportion before they are paired.
+    ``paths`` names the two paths of one plot; without it every two paths of a graph are paired, which
+    gives a row for every two places of a block. Circular places that wrap the origin are divided into
+    two in proportion before they are paired. A name that is no path of the tables gives no rows.
     """
     lens = g.block_lengths.where(F.col("len") >= min_len)
     dup = g.walks.groupBy("graph_id", "path_id", "block_id").agg(F.count("*").alias("n")).where("n > 1").select("graph_id", "block_id").distinct()
-    places = g.walks.join(g.paths.select("path_id", "tot_len"), "path_id").join(lens, ["graph_id", "block_id"])
+    shown = g.paths.select("path_id", "tot_len")
+    if paths:
+        shown = shown.where(F.col("path_id").isin(*paths))
+    places = g.walks.join(shown, "path_id").join(lens, ["graph_id", "block_id"])
     wraps = F.col("pos_end") < F.col("pos_start")
     whole = F.struct(F.col("pos_start").alias("start"), F.col("pos_end").alias("end"), F.lit(0.0).alias("from"), F.lit(1.0).alias("to"))
     size = F.col("tot_len") - F.col("pos_start") + F.col("pos_end")

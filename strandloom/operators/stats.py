@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.session import cut_lineage
 from strandloom.tables import Graphs
 
 
@@ -21,13 +22,18 @@ def block_stats(g: Graphs) -> DataFrame:
     have nodes hold it. Two aggregation levels instead of count distinct: the first one, by path,
     is combined on the map side and spreads a frequent block over as many keys as it has paths.
     """
+    return stats_with_paths(g).drop("n_paths")
+
+
+def stats_with_paths(g: Graphs) -> DataFrame:
+    """The same with ``n_paths``, the number of paths of the graph that have nodes."""
     per_path = g.walks.groupBy("graph_id", "block_id", "path_id").agg(F.count("*").alias("n"))
     stats = per_path.groupBy("graph_id", "block_id").agg(F.sum("n").alias("count"), F.count("*").alias("n_strains"))
-    strains = g.walks.groupBy("graph_id").agg(F.countDistinct("path_id").alias("n_paths"))
+    strains = g.walks.select("graph_id", "path_id").distinct().groupBy("graph_id").agg(F.count("*").alias("n_paths"))
     stats = stats.join(strains, "graph_id").withColumn("duplicated", F.col("count") > F.col("n_strains"))
     stats = stats.withColumn("core", ~F.col("duplicated") & (F.col("n_strains") == F.col("n_paths")))
     return stats.join(g.block_lengths, ["graph_id", "block_id"]).select(
-        "graph_id", "block_id", "count", "n_strains", "duplicated", "core", "len"
+        "graph_id", "block_id", "count", "n_strains", "duplicated", "core", "len", "n_paths"
     )
 
 
@@ -59,7 +65,7 @@ def pairwise_content(g: Graphs) -> DataFrame:
     Shared lengths come from a join of presences on the block; the difference is what both hold
     less twice the shared. Paths that share nothing, and a path with itself, are pairs as well.
     """
-    held = g.walks.select("graph_id", "path_id", "block_id").distinct().join(g.block_lengths, ["graph_id", "block_id"])
+    held = cut_lineage(g.walks.select("graph_id", "path_id", "block_id").distinct().join(g.block_lengths, ["graph_id", "block_id"]))
     total = held.groupBy("graph_id", "path_id").agg(F.sum("len").alias("total"))
     a = held.select("graph_id", "block_id", F.col("path_id").alias("path_i"), "len")
     b = held.select("graph_id", "block_id", F.col("path_id").alias("path_j"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators.components import connected_components
 from strandloom.operators.walks import filter_walks, rotate_walks, text_canonical, steps
+from strandloom.session import cut_lineage
 from strandloom.tables import Graphs
 
 
@@ -27,7 +28,7 @@ def mergers(walks: DataFrame) -> DataFrame:
 
 def synteny_units(g: Graphs, core: DataFrame) -> DataFrame:
     """graph, block, unit (its least block), unit_len, label (MSU_0 is the longest; ties: the least block)."""
-    walks = filter_walks(g.walks, core)
+    walks = cut_lineage(filter_walks(g.walks, core))
     parts = connected_components(
         walks.select("graph_id", F.col("block_id").alias("vertex")), mergers(walks), ["graph_id"]
     ).select("graph_id", F.col("vertex").alias("block_id"), F.col("component").alias("unit"))

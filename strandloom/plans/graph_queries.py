@@ -82,11 +82,24 @@ JUNCTIONS = """
 """
 
 
+#: Queries that read the walk table once; for the others it is stored before they read it again.
+ONCE = {
+    "a1_block_depth", "q2_block_counts", "q1_strains", "s9_duplicate_names", "o7_longest_block", "q4_path_dictionary", "a6_graph_links", "a6_edge_counts",
+    "a8_walk_categories", "q5_pairwise_content", "x1_reverse_complement", "q7_block_alignment", "q7_node_sequences", "x5_reversed_edits", "a18_edit_lengths",
+    "a9_majority_substitutions", "a10_majority_deletions", "a11_majority_insertions", "g19_new_consensus", "g25_reconstruct", "k4_block_sequences", "w8_gaps", "j5_overlaps",
+    "g28_components",
+}
+
+
 def query(name: str, sql: str | None = None, *parts: str):
     """Registers a query of (graphs) -> DataFrame, with its SQL after the common expressions."""
 
+    def load(spark, folder):
+        g = Graphs.load(spark, folder)
+        return g if name in ONCE else g.stored()
+
     def register(f):
-        QUERIES[name] = lambda spark, folder: f(Graphs.load(spark, folder))
+        QUERIES[name] = lambda spark, folder: f(load(spark, folder))
         if sql is not None:
             ORACLE[name] = f"WITH {','.join((BASE, *parts))} {sql}"  # SQL that begins with a comma adds expressions
         return f
@@ -96,7 +109,7 @@ def query(name: str, sql: str | None = None, *parts: str):
 
 def near_core(g: Graphs) -> DataFrame:
     """Backbone used by the queries: single-copy blocks of half the paths or more, 200 letters and more."""
-    return junctions.backbone(g, 200, ~F.col("duplicated") & (F.col("n_strains") >= 0.5 * F.col("n_paths")))
+    return cut_lineage(junctions.backbone(g, 200, ~F.col("duplicated") & (F.col("n_strains") >= 0.5 * F.col("n_paths"))))
 
 
 # ---- counts and statistics
@@ -203,7 +216,7 @@ def w3_rotated_walks(g: Graphs) -> DataFrame:
 
 
 def _junctions(g: Graphs) -> DataFrame:
-    return junctions.junctions(g.walks, near_core(g))
+    return cut_lineage(junctions.junctions(g.walks, near_core(g)))
 
 
 query("q11_junctions", 'SELECT graph_id, edge, path_id, "natural", center_key FROM j', JUNCTIONS)(

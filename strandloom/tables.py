@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import read_table
+from strandloom.session import cut_lineage, read_table
 
 
 def id_number(c: Column | str) -> Column:
@@ -77,6 +77,12 @@ class Graphs:
             "graph_id", "path_id", "circular", "ord", "node_id", "block_id", "fwd", "pos_start", "pos_end"
         )
 
+    def stored(self) -> Graphs:
+        """The same graphs with their walk table computed once, for plans that read it several times."""
+        if not self.__dict__.get("_stored"):
+            self.__dict__["walks"], self.__dict__["_stored"] = cut_lineage(self.walks), True
+        return self
+
     @cached_property
     def block_lengths(self) -> DataFrame:
         return self.blocks.select("graph_id", "block_id", F.length("consensus").alias("len"))
