@@ -14,7 +14,10 @@ its 0-based place, null where the element itself is null.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from decimal import Decimal
+from json.decoder import scanstring
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +31,45 @@ EDIT_KINDS = {"subs": "sub", "dels": "del", "inss": "ins"}
 # The containers above an Edit and the fields that may name their elements.
 BLOCK_CONTAINER, BLOCK_IDS = "blocks", ("id", "block_id")
 NODE_CONTAINER, NODE_IDS = "alignments", ("node_id", "id")
+#: Keys of repeated elements in the path tree.
+REPEATED = ("[]", "{}")
 
 
 class _Path:
-    """A node of the path tree: its children, and whether scalars were met here."""
+    """A node of the path tree: its key, its parent, its children, whether scalars were met here, its columns."""
 
-    __slots__ = ("children", "scalar", "name", "rep", "columns")
+    __slots__ = ("children", "scalar", "key", "parent", "rep", "leaf", "marks", "first", "last")
 
-    def __init__(self, name: tuple[str, ...], rep: int):
+    def __init__(self, key: str, parent: _Path | None):
         self.children: dict[str, _Path] = {}
         self.scalar = False
-        self.name, self.rep = name, rep
-        self.columns: list[Column] = []
+        self.key, self.parent = key, parent
+        self.rep = (parent.rep if parent else 0) + (key in REPEATED)
+        self.leaf: Column | None = None
+        self.marks: Column | None = None
+        self.first = self.last = 0  # its columns and those below are a stretch of all columns
 
     def child(self, key: str) -> _Path:
         found = self.children.get(key)
         if found is None:
-            found = self.children[key] = _Path((*self.name, key), self.rep + (key in ("[]", "{}")))
+            found = self.children[key] = _Path(key, self)
         return found
 
+    def name(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.parent is not None:
+            out.append(at.key)
+            at = at.parent
+        return tuple(reversed(out))
+
 
 class Column:
     """Values of one leaf path with their repetition and definition levels."""
 
-    __slots__ = ("name", "max_rep", "values", "reps", "defs")
+    __slots__ = ("path", "max_rep", "values", "reps", "defs")
 
-    def __init__(self, name: tuple[str, ...], max_rep: int):
-        self.name, self.max_rep = name, max_rep
+    def __init__(self, path: _Path):
+        self.path, self.max_rep = path, path.rep
         self.values: list = []
         self.reps: list[int] = []
         self.defs: list[int] = []
@@ -65,74 +80,90 @@ class Column:
         self.defs.append(level)
 
 
-def _infer(value, path: _Path) -> None:
-    if type(value) is dict:
-        for k, v in value.items():
-            _infer(v, path.child("{}" if k.isdigit() else k))
-    elif type(value) is list:
-        below = path.child("[]")
-        for v in value:
-            _infer(v, below)
-    elif value is not None:
-        path.scalar = True
-
-
-def _plan(path: _Path, columns: dict[tuple[str, ...], Column]) -> list[Column]:
-    own = []
-    if path.scalar:
-        own.append(path.name)
-    if path.name and path.name[-1] in ("[]", "{}"):
-        own.append((*path.name, "@"))
-    for name in own:
-        columns[name] = Column(name, path.rep)
-        path.columns.append(columns[name])
-    every = list(path.columns)
-    for c in path.children.values():
-        every += _plan(c, columns)
-    path.columns = [*path.columns, *every[len(path.columns) :]]
-    return every
-
-
-def _absent(path: _Path, rep: int, level: int) -> None:
-    for c in path.columns:
-        c.put(None, rep, level)
-
-
-def _shred(value, path: _Path, columns: dict, rep: int, level: int) -> None:
-    if path.scalar:
-        leaf = None if type(value) in (dict, list) else value
-        columns[path.name].put(leaf, rep, level + (leaf is not None))
-    kind = type(value)
-    for key, below in path.children.items():
-        if key == "[]":
-            items = list(enumerate(value)) if kind is list else ()
-        elif key == "{}":
-            items = [(k, v) for k, v in value.items() if k.isdigit()] if kind is dict else ()
-        else:
-            if kind is dict and value.get(key) is not None:
-                _shred(value[key], below, columns, rep, level + 1)
-            else:
-                _absent(below, rep, level)
+# Documents may be nested as deeply as they are long: nothing below calls itself.
+
+
+def _infer(document, root: _Path) -> None:
+    """Adds the paths of a document to the tree."""
+    stack = [(document, root)]
+    while stack:
+        value, path = stack.pop()
+        if type(value) is dict:
+            stack.extend((v, path.child("{}" if k.isdigit() else k)) for k, v in reversed(value.items()))
+        elif type(value) is list:
+            below = path.child("[]")
+            stack.extend((v, below) for v in reversed(value))
+        elif value is not None:
+            path.scalar = True
+
+
+def _columns(root: _Path) -> list[Column]:
+    """The columns of all paths, those of a path and of all below it side by side."""
+    columns: list[Column] = []
+    stack = [(root, False)]
+    while stack:
+        path, done = stack.pop()
+        if done:
+            path.last = len(columns)
             continue
-        if not items:
-            _absent(below, rep, level)
+        path.first = len(columns)
+        if path.scalar:
+            path.leaf = Column(path)
+            columns.append(path.leaf)
+        if path.key in REPEATED:
+            path.marks = Column(path)
+            columns.append(path.marks)
+        stack.append((path, True))
+        stack.extend((c, False) for c in reversed(path.children.values()))
+    return columns
+
+
+def _shred(document, root: _Path, columns: list[Column]) -> None:
+    """Adds a document's entries to the columns, depth first."""
+    # what is left to do: a value under a path, or (None under _ABSENT) nothing for all columns of a path
+    stack: list[tuple] = [(document, root, 0, 0, None)]
+    while stack:
+        value, path, rep, level, place = stack.pop()
+        if value is _ABSENT:
+            for c in columns[path.first : path.last]:
+                c.put(None, rep, level)
             continue
-        at, marks = rep, columns[(*below.name, "@")]
-        for place, item in items:
-            marks.put(None if item is None else place, at, level + 1 + (item is not None))
-            _shred(item, below, columns, at, level + 1)
-            at = below.rep
+        if place is not None:
+            path.marks.put(None if value is None else place, rep, level + (value is not None))
+        if path.leaf is not None:
+            leaf = None if type(value) in (dict, list) else value
+            path.leaf.put(leaf, rep, level + (leaf is not None))
+        kind = type(value)
+        after: list[tuple] = []
+        for key, below in path.children.items():
+            if key == "[]":
+                items = enumerate(value) if kind is list else ()
+            elif key == "{}":
+                items = ((k, v) for k, v in value.items() if k.isdigit()) if kind is dict else ()
+            else:
+                inner = value.get(key) if kind is dict else None
+                after.append((_ABSENT, below, rep, level, None) if inner is None else (inner, below, rep, level + 1, None))
+                continue
+            at = rep
+            for where, item in items:
+                after.append((item, below, at, level + 1, where))
+                at = below.rep
+            if at == rep:
+                after.append((_ABSENT, below, rep, level, None))
+        stack.extend(reversed(after))
+
 
+_ABSENT = object()
 
-def shred(documents: list) -> dict[tuple[str, ...], Column]:
+
+def shred(documents: list) -> list[Column]:
     """Columns of all leaf paths of the documents; repetition level 0 begins a document."""
-    root = _Path((), 0)
+    root = _Path("", None)
     for d in documents:
         _infer(d, root)
-    columns: dict[tuple[str, ...], Column] = {}
-    _plan(root, columns)
+    columns = _columns(root)
     for d in documents:
-        _shred(d, root, columns, 0, 0)
+        _shred(d, root, columns)
     return columns
 
 
@@ -151,21 +182,98 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def _whole(digits: str):
+    """An integer of any number of digits; beyond what ids and places can have, as a decimal."""
+    return int(digits) if len(digits) <= 100 else Decimal(digits)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_PLAIN = {"true": True, "false": False, "null": None}
+
+
+def parse_deep(text: str):
+    """The value of a JSON text nested to any depth; ValueError if it isn't valid."""
+    blank = lambda i: _BLANK.match(text, i).end()
+    open_: list = []  # containers that are not closed yet
+    keys: list = []  # the key that each of them waits for a value under
+    at, n = blank(0), len(text)
+
+    def key(i: int) -> int:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"a key is expected at {i}")
+        name, i = scanstring(text, i + 1, True)
+        i = blank(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"a colon is expected at {i}")
+        keys[-1] = name
+        return blank(i + 1)
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            open_.append({} if c == "{" else [])
+            keys.append(None)
+            at = blank(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                at = key(at) if c == "{" else at
+                continue
+            at, value = at + 1, open_.pop()
+            keys.pop()
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := _NUMBER.match(text, at):
+            value, at = (Decimal(m.group()) if m.group(1) or m.group(2) else _whole(m.group())), m.end()
+        else:
+            word = next((w for w in _PLAIN if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"a value is expected at {at}")
+            value, at = _PLAIN[word], at + len(word)
+        while True:  # the value is whole: it goes into its container, which may be whole then
+            at = blank(at)
+            if not open_:
+                if at < n:
+                    raise ValueError(f"text after the value at {at}")
+                return value
+            top = open_[-1]
+            if type(top) is dict:
+                top[keys[-1]] = value
+            else:
+                top.append(value)
+            c = text[at : at + 1]
+            if c == ",":
+                at = blank(at + 1)
+                at = key(at) if type(top) is dict else at
+                break
+            if c != ("}" if type(top) is dict else "]"):
+                raise ValueError(f"a container isn't closed at {at}")
+            at, value = at + 1, open_.pop()
+            keys.pop()
+
+
 def parse_json(text: str | None):
-    """(value,) of strictly valid JSON with integers kept exact; None for anything else."""
+    """(value,) of strictly valid JSON of any depth with all digits of its numbers; None for anything else."""
     if text is None:
         return None
     try:
-        return (json.loads(text, parse_constant=_refuse),)
-    except (ValueError, RecursionError):
+        return (json.loads(text, parse_constant=_refuse, parse_float=Decimal),)
+    except json.JSONDecodeError:
         return None
+    except (ValueError, ArithmeticError, RecursionError):  # a constant, very many digits, or very deep
+        try:
+            return (parse_deep(text),)
+        except (ValueError, ArithmeticError):
+            return None
 
 
 def _digits(value) -> str | None:
+    """An id as text: the exact digits of whole numbers, however they are written."""
     if value is None or isinstance(value, bool):
         return None
-    if isinstance(value, float):
-        return str(int(value)) if value.is_integer() else str(value)
+    if isinstance(value, Decimal):
+        if value.is_finite() and abs(value.adjusted()) <= 100 and value == value.to_integral_value():
+            return str(int(value))
+        return str(value)
     return str(value).strip()
 
 
@@ -174,45 +282,50 @@ def _integer(value) -> int | None:
     if value is None or isinstance(value, bool):
         return None
     try:
-        n = int(value) if not isinstance(value, float) else (int(value) if value.is_integer() else None)
-    except (ValueError, OverflowError):
+        if isinstance(value, Decimal):
+            if not value.is_finite() or value.adjusted() > 10 or value != value.to_integral_value():
+                return None
+        elif isinstance(value, str) and len(value) > 100:
+            return None
+        n = int(value)
+    except (ValueError, OverflowError, ArithmeticError):
         return None
-    return n if n is not None and -(2**31) <= n < 2**31 else None
-
-
-def _naming(columns: dict, path: tuple[str, ...], container: str, fields: tuple[str, ...]):
-    """The columns that can name the element of ``container`` above ``path``, best first; its path's depth."""
-    for i in range(len(path) - 2, -1, -1):
-        if path[i] == container and path[i + 1] in ("[]", "{}"):
-            element = path[: i + 2]
-            found = [columns[(*element, f)] for f in fields if (*element, f) in columns]
-            if element[-1] == "{}":
-                found.insert(0, columns[(*element, "@")])
-            return found
+    return n if -(2**31) <= n < 2**31 else None
+
+
+def _naming(path: _Path, container: str, fields: tuple[str, ...]) -> list[Column]:
+    """The columns that can name the element of ``container`` above ``path``, best first."""
+    at = path
+    while at.parent is not None and at.parent.parent is not None:
+        at = at.parent
+        if at.key in REPEATED and at.parent.key == container and at.parent.parent is not None:
+            found = [at.children[f].leaf for f in fields if f in at.children and at.children[f].leaf is not None]
+            return [at.marks, *found] if at.key == "{}" else found
     return []
 
 
-def edit_rows(columns: dict[tuple[str, ...], Column], doc_ids: np.ndarray) -> dict[str, list]:
+def edit_rows(columns: list[Column], doc_ids: np.ndarray) -> dict[str, list]:
     """The table of Edit entries, rebuilt from the level sequences of the columns."""
     out: dict[str, list] = {k: [] for k in ("raw_id", "block_id", "node_id", "edit_kind", "edit_no", "edit_pos", "edit_len", "edit_text")}
-    for name, marks in columns.items():
-        if len(name) < 3 or name[-1] != "@" or name[-2] != "[]" or name[-3] not in EDIT_KINDS:
+    for marks in columns:
+        element = marks.path
+        if marks is not element.marks or element.key != "[]" or element.parent.key not in EDIT_KINDS:
             continue
         reps = np.asarray(marks.reps, dtype=np.int64)
         places = _objects(marks)
         here = np.flatnonzero(np.array([p is not None for p in marks.values], dtype=bool))
         if not len(here):
             continue
-        element = name[:-1]
 
         def leaf(field: str):
-            c = columns.get((*element, field))
+            below = element.children.get(field)
+            c = below.leaf if below is not None else None
             # every column under an element has one entry per slot of the element unless it repeats itself
             return _objects(c)[here] if c is not None and c.max_rep == marks.max_rep else [None] * len(here)
 
         def named(container: str, fields: tuple[str, ...]) -> list:
             best: list = [None] * len(here)
-            for c in _naming(columns, element, container, fields):
+            for c in _naming(element, container, fields):
                 values = _objects(c)[ancestor_slots(reps, c.max_rep)[here]]
                 best = [b if b is not None else _digits(v) for b, v in zip(best, values, strict=True)]
             return best
@@ -220,7 +333,7 @@ def edit_rows(columns: dict[tuple[str, ...], Column], doc_ids: np.ndarray) -> di
         out["raw_id"] += doc_ids[ancestor_slots(reps, 0)[here]].tolist()
         out["block_id"] += named(BLOCK_CONTAINER, BLOCK_IDS)
         out["node_id"] += named(NODE_CONTAINER, NODE_IDS)
-        out["edit_kind"] += [EDIT_KINDS[name[-3]]] * len(here)
+        out["edit_kind"] += [EDIT_KINDS[element.parent.key]] * len(here)
         out["edit_no"] += places[here].tolist()
         out["edit_pos"] += [_integer(v) for v in leaf("pos")]
         out["edit_len"] += [_integer(v) for v in leaf("len")]
@@ -237,37 +350,74 @@ _ARROW = pa.schema(
 
 #: Documents shredded together; levels of so many are held in memory at once.
 DOCS_AT_ONCE = 256
+#: A document of more brackets than this is shredded alone, so that its paths make no columns for others.
+WIDE = 10_000
+
+
+def _latest(docs: DataFrame, key: str, payload: str, received: str) -> DataFrame:
+    latest = docs.groupBy(F.col(key).cast("bigint").alias("raw_id")).agg(F.max(F.struct(F.col(received), F.col(payload))).alias("__last"))
+    return latest.select("raw_id", F.col("__last")[payload].alias("payload"))
+
+
+def _nesting(text: str) -> int:
+    """A bound on the depth of a text that costs next to nothing."""
+    return min(text.count("[") + text.count("{"), text.count("]") + text.count("}"))
 
 
 def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(ids: list, docs: list) -> pa.RecordBatch:
+        ids_array = np.empty(len(ids), dtype=object)
+        ids_array[:] = ids
+        return pa.RecordBatch.from_pydict(edit_rows(shred(docs), ids_array), schema=_ARROW)
+
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS_AT_ONCE):
             part = batch.slice(at, DOCS_AT_ONCE)
             ids, docs = [], []
             for raw_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                if (parsed := parse_json(text.as_py())) is not None:
-                    ids.append(raw_id)
-                    docs.append(parsed[0])
+                text = text.as_py()
+                if (parsed := parse_json(text)) is None:
+                    continue
+                if _nesting(text) > WIDE:
+                    yield table([raw_id], [parsed[0]])
+                    continue
+                ids.append(raw_id)
+                docs.append(parsed[0])
             if docs:
-                ids_array = np.empty(len(ids), dtype=object)
-                ids_array[:] = ids
-                yield pa.RecordBatch.from_pydict(edit_rows(shred(docs), ids_array), schema=_ARROW)
+                yield table(ids, docs)
 
 
 def shred_edits(docs: DataFrame, key: str = "raw_id", payload: str = "payload", received: str = "received_at") -> DataFrame:
     """One row per non-null entry of a ``subs``, ``dels`` or ``inss`` array, with its document, block and node.
 
     Documents delivered several times under one key count once, in their latest version (ties: the
-    greatest payload). Defined results: null, empty and invalid payloads give no rows; null entries
+    greatest payload). Valid documents give their rows however deeply they are nested and however
+    many digits a number has; ids written as reals of a whole value keep their digits. Defined
+    results: null, empty and invalid payloads give no rows (``refused`` lists them); null entries
     keep their place and give no row; an Edit outside any block or node has a null ``block_id`` or
     ``node_id``; a ``pos`` that is absent or no integer is null; an empty table gives no rows;
     other columns are ignored; rows with a null key are kept as one document.
     """
     ship(docs.sparkSession)
-    latest = docs.groupBy(F.col(key).cast("bigint").alias("raw_id")).agg(
-        F.max(F.struct(F.col(received), F.col(payload))).alias("__last")
-    )
-    return latest.select("raw_id", F.col("__last")[payload].alias("payload")).mapInArrow(_shred_batches, EDIT_SCHEMA)
+    return _latest(docs, key, payload, received).mapInArrow(_shred_batches, EDIT_SCHEMA)
+
+
+def refused(docs: DataFrame, key: str = "raw_id", payload: str = "payload", received: str = "received_at") -> DataFrame:
+    """raw_id, reason of the documents that give no rows at all: ``null``, ``empty`` (blanks only) or ``invalid`` JSON."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, reasons = [], []
+            for raw_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                reason = "null" if text is None else "empty" if not text.strip(" \t\n\r") else "invalid" if parse_json(text) is None else None
+                if reason:
+                    ids.append(raw_id)
+                    reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reasons, pa.string())], names=["raw_id", "reason"])
+
+    return _latest(docs, key, payload, received).mapInArrow(run, "raw_id bigint, reason string")
 
 
 def flatten_alignments(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.salted import salted_aggregate, salted_distinct_counts
-from strandloom.operators.shred import flatten_alignments, shred_edits
+from strandloom.operators.shred import flatten_alignments, refused, shred_edits
 from strandloom.session import read_table
 
 
@@ -16,6 +16,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("raw_id", "block_id", "node_id", "edit_kind", "edit_no", "edit_pos")
 
 
+def p2_refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that give no rows because they are null, empty or no valid JSON."""
+    return refused(read_table(spark, folder, "graph_docs"))
+
+
 def p2_typed_edits(spark: SparkSession, folder: str) -> DataFrame:
     """The same flat table from the typed alignments of ``blocks``."""
     return flatten_alignments(read_table(spark, folder, "blocks"))
@@ -48,6 +53,7 @@ def p5_block_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_refused": p2_refused,
     "p2_typed_edits": p2_typed_edits,
     "p5_block_counts": p5_block_counts,
     "p5_block_spans": p5_block_spans,
@@ -68,6 +74,10 @@ ORACLE = {
            json_extract_string(entry, '$.pos')::INT AS edit_pos
     FROM e WHERE json_type(entry) <> 'NULL'
     """,
+    "p2_refused": r"""
+    WITH d AS (SELECT raw_id, payload FROM graph_docs QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY received_at DESC, payload DESC NULLS LAST) = 1)
+    SELECT raw_id, CASE WHEN payload IS NULL THEN 'null' WHEN trim(payload, chr(9) || chr(10) || chr(13) || ' ') = '' THEN 'empty' ELSE 'invalid' END AS reason
+    FROM d WHERE payload IS NULL OR NOT json_valid(payload)""",
     "p2_typed_edits": """
         WITH n AS (SELECT graph_id, block_id, unnest(map_entries(alignments)) AS e FROM blocks),
         r AS (SELECT graph_id, block_id, e.key AS node_id, e.value AS ed FROM n WHERE e.value IS NOT NULL)

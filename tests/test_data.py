@@ -46,12 +46,52 @@ def test_deliveries_count_once_in_their_latest_version(spark):
 
 def test_levels_rebuild_the_ancestors():
     columns = shred.shred([{"a": [{"b": [1, 2]}, {}, {"b": []}, {"b": [3]}]}, {}, {"a": []}])
-    c = columns["a", "[]", "b", "[]"]
+    c = next(c for c in columns if c.path.name() == ("a", "[]", "b", "[]") and c is c.path.leaf)
     assert c.values == [1, 2, None, None, 3, None, None]
     assert c.reps == [0, 2, 1, 1, 1, 0, 0]
     assert c.defs == [5, 5, 2, 3, 5, 0, 1]
 
 
+@pytest.mark.parametrize("depth", [1_000, 5_000, 100_000])
+def test_documents_of_any_depth(spark, depth):
+    inner = '{"blocks": {"7": {"alignments": {"5": {"subs": [{"pos": 3}], "dels": [null, {"pos": 4}]}}}}}'
+    docs = _docs(spark, '{"a": ' * depth + inner + "}" * depth, "[" * depth + inner + "]" * depth, "[" * depth + inner + "]" * (depth - 1), '{"subs": [{"pos": 1}]}')
+    got = rows(shred.shred_edits(docs), "raw_id", "block_id", "node_id", "edit_kind", "edit_no", "edit_pos")
+    assert got == sorted([(i, "7", "5", *e) for i in (0, 1) for e in (("sub", 0, 3), ("del", 1, 4))] + [(3, None, None, "sub", 0, 1)], key=repr)
+    assert rows(shred.refused(docs)) == [(2, "invalid")]
+
+
+def test_numbers_keep_their_digits(spark):
+    node = f'"alignments": [{{"node_id": {BIG}.0, "subs": [{{"pos": 2.0}}, {{"pos": 2.5}}, {{"pos": 1e999999999}}, {{"pos": {"9" * 5000}}}]}}]'
+    docs = _docs(spark, f'{{"blocks": [{{"id": 1.8446744073709551615e19, {node}}}]}}', "{" + '"n": ' + "7" * 6000 + ', "subs": [{"pos": 1}]}', " \n", None, "[1,]")
+    got = rows(shred.shred_edits(docs), "raw_id", "block_id", "node_id", "edit_no", "edit_pos")
+    assert got == [(0, str(BIG), str(BIG), 0, 2), (0, str(BIG), str(BIG), 1, None), (0, str(BIG), str(BIG), 2, None), (0, str(BIG), str(BIG), 3, None), (1, None, None, 0, 1)]
+    assert rows(shred.refused(docs)) == [(2, "empty"), (3, "null"), (4, "invalid")]
+
+
+def test_deep_parser_agrees_with_the_plain_one():
+    rng = __import__("random").Random(5)
+
+    def value(d):
+        kind = rng.randrange(8 if d else 6)
+        if kind >= 6:
+            n = rng.randrange(4)
+            return [value(d - 1) for _ in range(n)] if kind == 6 else {rng.choice('ab"\\é0'): value(d - 1) for _ in range(n)}
+        return [None, True, False, rng.randrange(-99, 99), 'x"\\\u00e9\n', ""][kind]
+
+    for i in range(300):
+        text = json.dumps(value(4), indent=rng.choice([None, 1]), ensure_ascii=bool(i % 2))
+        assert shred.parse_deep(text) == json.loads(text)
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", "]", "}", ",", '"', "01", "NaN", " x"])
+        try:
+            want = json.loads(broken, parse_constant=shred._refuse)
+        except ValueError:
+            with pytest.raises(ValueError):
+                shred.parse_deep(broken)
+        else:
+            assert shred.parse_deep(broken) == want
+
+
 @pytest.mark.parametrize("heavy", [1, 5, 10_000])
 def test_salted_counts_equal_plain_ones(spark, heavy):
     df = spark.range(500).select(
