@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import salted, shred
-from strandloom.operators.buckets import bucket_pairs
+from strandloom.operators.buckets import bucket_pairs, linked_pairs
 
 from .conftest import rows
 
@@ -115,3 +115,15 @@ def test_bucket_pairs(spark, tile):
     got = bucket_pairs(df, ["bucket"], "id", tile).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert bucket_pairs(df.limit(0), ["bucket"], "id").count() == 0
+    twice = {p for p in want if sum((p[0] + b) % 3 > 0 and (p[1] + b) % 3 > 0 for b in range(3)) >= 2}
+    assert {tuple(r) for r in bucket_pairs(df, ["bucket"], "id", tile, least=2).collect()} == twice
+    assert {tuple(r) for r in bucket_pairs(df.dropna().distinct(), ["bucket"], "id", tile, once=True).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [1, 3, 1000])
+def test_linked_pairs(spark, tile):
+    members = [(c, 10 * c + i) for c in range(4) for i in range(c * 4)] + [(None, 99)]
+    m, e = spark.createDataFrame(members, "a int, y int"), spark.createDataFrame([(1, 2), (1, 3), (0, 1), (7, 1), (None, 1)], "p int, q int")
+    want = sorted((x, y) for p, q in ((1, 2), (1, 3)) for c, x in members for d, y in members if c == p and d == q)
+    assert rows(linked_pairs(e, "p", "q", m, "a", "y", tile)) == sorted(want, key=repr)
+    assert linked_pairs(e, "p", "q", m.limit(0), "a", "y").count() == 0
