@@ -74,6 +74,45 @@ def test_signatures_of_equal_and_empty_bags():
     assert not bagminhash.signature(v[:0], w[:0]).any()
 
 
+def test_signatures_of_many_bags_are_those_of_each():
+    rng = np.random.default_rng(4)
+    owner = np.sort(rng.integers(0, 9, 4_000))
+    values, weights = rng.integers(0, 2**62, 4_000, dtype=np.uint64), rng.integers(1, 6, 4_000).astype(float)
+    many = bagminhash.signatures(values, weights, owner, 10)
+    assert not many[9].any()
+    for i in range(9):
+        assert (many[i] == bagminhash.signature(values[owner == i], weights[owner == i])).all()
+
+
+def test_recall_near_the_threshold():
+    """Pairs of similarity 0.5 to 0.52 share the asked bands: all of 3,000 but for chances of 2e-7 each."""
+    rng = np.random.default_rng(6)
+    n, common, own = 3_000, 102, 50
+    base = rng.integers(0, 2**62, (n, common + 2 * own), dtype=np.uint64)
+    left, right = base[:, : common + own], np.delete(base, np.s_[common : common + own], axis=1)
+    marks = [bagminhash.signatures(x.ravel(), np.ones(x.size), np.repeat(np.arange(n), x.shape[1]), n) for x in (left, right)]
+    equal = (marks[0] == marks[1]).reshape(n, bagminhash.BAND, -1)  # slots i and i + 64 stand for a band of two here
+    assert (equal.all(1).sum(1) >= bagminhash.COMMON).mean() == 1.0
+    assert abs((marks[0] == marks[1]).mean() - common / (common + 2 * own)) < 0.01
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = [dna(rng, 40) * 3 + dna(rng, 60) for _ in range(3)]
+    seqs = [None, "ACGT"] + [x for b in base for x in (b, b, b[:80] + b[120:], b[:40] + b[120:], mutated(rng, b, 2), b + b[:100])]
+    df = _records(spark, seqs)
+    members, links = bagminhash.near_pairs(df, "rec_index", "seq", delivered="loaded_at", weighted=True)
+    bags = {i: bagminhash.bag(s, True) for i, s in enumerate(seqs) if s and len(s) >= 16}
+    least = {i: min(j for j in bags if seqs[j] == seqs[i]) for i in bags}
+    assert {(r["rec"], r["class_id"], r["n_windows"]) for r in members.collect()} == {(i, least[i], int(b[1].sum())) for i, b in bags.items()}
+    want = set()
+    for i, j in itertools.combinations(sorted(set(least.values())), 2):
+        common, total = bagminhash.similarity(bags[i], bags[j])
+        if 2 * common >= total:
+            want.add((i, j, common, total))
+    assert want and {tuple(r) for r in links.collect()} == want
+
+
 # ---- co-occurrence
 
 
