@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.lookalike import skeleton
-from strandloom.session import ship
+from strandloom.session import cut_lineage, ship
 
 #: Consecutive words in common that make a case.
 WORDS = 13
@@ -36,6 +36,8 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of corpus text coded at a time.
 CHUNK = 2 << 20
 BITMAP_BITS = 22
+#: Matched places that are looked at together, and blocks of items that go over the corpus together.
+PLACES, BLOCKS = 1 << 20, 8
 
 _LETTERS = np.zeros(256, dtype=np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
@@ -164,23 +166,76 @@ def _bisect(column: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarr
         high = np.where(open_ & ~right, middle, high)
 
 
-def search(words: Words, array: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(corpus position, item position) of all verbatim matches of WORDS words."""
-    none = np.empty(0, dtype=np.int64)
-    if not len(array):
-        return none, none
-    live = items.at
+def matches(words: Words, array: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item position, low, high): the stretch of the suffix array that begins with the WORDS words at each item position."""
+    live = items.at if len(array) else items.at[:0]
     low, high = np.zeros(len(live), dtype=np.int64), np.full(len(live), len(array), dtype=np.int64)
     for d in range(WORDS):
+        if not len(live):
+            break
         column, key = words.codes[array + d], items.words.codes[live + d]
         low, high = _bisect(column, low, high, key, False), _bisect(column, low, high, key, True)
         keep = low < high
         live, low, high = live[keep], low[keep], high[keep]
-        if not len(live):
-            return none, none
+    return live, low, high
+
+
+def _runs(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which, place) of all places of the stretches [low, high), so many at a time; a stretch may be divided."""
     sizes = high - low
-    begins = np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    return array[begins + np.arange(sizes.sum())], np.repeat(live, sizes)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    for first in range(0, total, PLACES):
+        n = np.arange(first, min(first + PLACES, total))
+        which = np.searchsorted(ends, n, side="right")
+        yield which, low[which] + n - (ends - sizes)[which]
+
+
+def search(words: Words, array: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(corpus position, item position) of all verbatim matches of WORDS words, so many at a time."""
+    live, low, high = matches(words, array, items)
+    for which, place in _runs(low, high):
+        yield array[place], live[which]
+
+
+def owners(words: Words, array: np.ndarray, items: Items) -> set[tuple[int, int]]:
+    """(text, item) that have WORDS words in common.
+
+    Stretches of the array for different words don't overlap, so the texts of all stretches are as many
+    as the array is long, however often a passage is repeated; of each stretch only distinct texts and
+    items are combined. The words of a pair are compared letter by letter.
+    """
+    live, low, high = matches(words, array, items)
+    found: set[tuple[int, int]] = set()
+    if not len(live):
+        return found
+    stretch, first, of = np.unique(low, return_index=True, return_inverse=True)
+    distinct = lambda owner, part: np.unique(part * (int(owner.max()) + 1) + owner, return_index=True)[1]
+    item = items.words.owner[live]
+    mine = distinct(item, of)
+    texts = []
+    for which, place in _runs(stretch, high[first]):
+        keep = distinct(words.owner[array[place]], which)
+        texts.append((which[keep], array[place[keep]]))
+    part, here = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts])
+    # each text of a stretch meets each item of it
+    order = mine[np.argsort(of[mine], kind="stable")]
+    begin, end = np.searchsorted(of[order], part, "left"), np.searchsorted(of[order], part, "right")
+    for which, place in _runs(begin, end):
+        i, j = here[which], live[order[place]]
+        pair = words.owner[i].astype(np.int64) * (len(items.ids) + 1) + items.words.owner[j]
+        for t in np.unique(pair, return_index=True)[1].tolist():
+            key = (int(words.owner[i[t]]), int(items.words.owner[j[t]]))
+            if key in found:
+                continue
+            if words.spell(int(i[t]), WORDS) == items.words.spell(int(j[t]), WORDS):
+                found.add(key)
+                continue
+            for u in np.flatnonzero(pair == pair[t]).tolist():  # equal codes of different words: another place may do
+                if words.spell(int(i[u]), WORDS) == items.words.spell(int(j[u]), WORDS):
+                    found.add(key)
+                    break
+    return found
 
 
 def longest(words: Words, items: Items, here: np.ndarray, there: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -226,48 +281,69 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
         yield Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-LEAK_SCHEMA = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint"
+PASSAGES = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint"
+PAIRS = "doc_id bigint, item_id bigint"
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """Every maximal passage of at least WORDS words that a document and an item share.
+def _passages(words: Words, block: Items) -> list[tuple]:
+    found = search(words, suffix_array(words, block), block)
+    return [(doc, block.ids[item], at, item_at, n) for here, there in found for doc, item, at, item_at, n in longest(words, block, here, there)]
 
-    Defined results: null and empty texts, texts of fewer words, and rows with a null key share
-    nothing; repeated rows give repeated passages; very long texts are searched whole; empty tables
-    give no rows; other columns are ignored.
-    """
+
+def _pairs(words: Words, block: Items) -> list[tuple]:
+    return [(doc, block.ids[item]) for doc, item in sorted(owners(words, suffix_array(words, block), block))]
+
+
+def _scan(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, look, schema: str) -> DataFrame:
+    """What ``look`` finds in each shard for each block of items; the corpus is read once for BLOCKS blocks."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     wanted = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("bigint").alias("item_id"), F.col(text).alias("text"))
-    found = None
-    for block in _blocks(wanted):
-        shared = spark.sparkContext.broadcast(block)
+    names = [f.split()[0] for f in schema.split(", ")]
+    found, held = None, []
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
+    def over(held: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0)
                 for first, texts in _shards(batch):
                     words = words_of(texts)
-                    here, there = search(words, suffix_array(words, block), block)
-                    hits = list(longest(words, block, here, there))
-                    if hits:
-                        doc, item, at, item_at, n = zip(*hits, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([first + d for d in doc])), pa.array([block.ids[i] for i in item], pa.int64()),
-                             pa.array(at, pa.int64()), pa.array(item_at, pa.int64()), pa.array(n, pa.int64())],
-                            names=["doc_id", "item_id", "doc_word", "item_word", "n_words"],
-                        )
-
-        part = rows.mapInArrow(run, LEAK_SCHEMA)
+                    for shared in held:
+                        if hits := look(words, shared.value):
+                            columns = list(zip(*hits, strict=True))
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + d for d in columns[0]])), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=names)
+
+        # stored at once, so that the blocks needn't stay with the executors
+        part = cut_lineage(rows.mapInArrow(run, schema))
+        for shared in held:
+            shared.destroy()
+        return part
+
+    for block in _blocks(wanted):
+        held.append(spark.sparkContext.broadcast(block))
+        if len(held) == BLOCKS:
+            part, held = over(held), []
+            found = part if found is None else found.unionByName(part)
+    if held:
+        part = over(held)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, **keys: str) -> DataFrame:
-    """Each document and item that share at least WORDS consecutive words, once."""
-    return leaked_passages(docs, items, **keys).select("doc_id", "item_id").distinct()
+def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """Every maximal passage of at least WORDS words that a document and an item share.
+
+    Defined results: null and empty texts, texts of fewer words, and rows with a null key share
+    nothing; repeated rows give repeated passages; very long texts are searched whole; empty tables
+    give no rows; other columns are ignored.
+    """
+    return _scan(docs, items, doc_key, item_key, text, _passages, PASSAGES)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """Each document and item that share at least WORDS consecutive words, once. Defined results as for passages."""
+    return _scan(docs, items, doc_key, item_key, text, _pairs, PAIRS).distinct()
 
 
 def clean_corpus(docs: DataFrame, leaked: DataFrame, doc_key: str = "doc_id") -> DataFrame:

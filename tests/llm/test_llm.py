@@ -295,6 +295,17 @@ def test_passages_are_maximal(spark):
     assert rows(leakage.leaked_passages(d, e)) == [(1, 7, 1, 0, 40)]
 
 
+def test_repeated_words_cost_no_square(spark, monkeypatch):
+    """One word over and over: as many stretches as the array is long, not as many as pairs of places."""
+    monkeypatch.setattr(leakage, "PLACES", 1000)
+    words, block = leakage.words_of([b"la " * 5_000, b"la " * 12, b"la " * 13]), leakage.Items([4, 9], ["la " * 300, "x " + "la " * 13])
+    assert leakage.owners(words, leakage.suffix_array(words, block), block) == {(0, 0), (0, 1), (2, 0), (2, 1)}
+    d = spark.createDataFrame([(1, "la " * 400), (2, "la " * 12)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, "la " * 30)], "item_id bigint, text string")
+    assert rows(leakage.leaked_items(d, e)) == [(1, 7)]
+    assert leakage.leaked_passages(d, e).count() == 388 + 18 - 1
+
+
 # ---- look-alikes
 
 
@@ -312,6 +323,29 @@ def test_pairs_of_lookalikes(spark):
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("script", ["CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "COPTIC", "LATIN"])
+def test_letters_of_each_script_become_ascii(script):
+    table = getattr(lookalike, script)
+    for a, others in table.items():
+        assert lookalike.skeleton(others) == a * len(others)
+        assert all(lookalike.script_of(x) == script.lower() for x in others)
+    assert sum(len(o) for o in lookalike.LOOKALIKES.values()) == len(lookalike.TO_ASCII)
+    assert lookalike.skeleton("հᎪꓳⲟᴏ") == "hAOoo"
+
+
+def test_tables_of_the_public_file():
+    lines = ["# comment", "", "0433 ;\t0072 ;\tMA\t# ( г → r )", "2170 ; 0069 ; MA", "0031 ; 006C ; MA", "0430 ; 0061 ; MA", "FB01 ; 0066 0069 ; MA"]
+    assert lookalike.read_confusables(lines) == {"r": "г", "a": "а"}
+
+
+def test_readings_by_the_search(spark):
+    df = spark.createDataFrame([(1, "сосна и cосна"), (2, "plain"), (3, None), (4, ""), (5, "pаssword значение"), (6, "caf\u0065\u0301")], "doc_id int, text string")
+    got = {r["doc_id"]: (r["form"], r["n_tokens"], r["n_mended"]) for r in lookalike.canonical_forms(df, "doc_id", "text", MODEL).collect()}
+    assert got[1] == ("сосна и сосна", 3, 1)  # a Latin c inside a Cyrillic word
+    assert got[5] == ("password значение", 2, 1)
+    assert got[6] == ("café", 1, 0) and set(got) == {1, 5, 6}
+
+
 MODEL = lookalike.Canonical({a + b: 50 for w in ("сосна", "значение", "νόμος", "café") for a, b in zip(w, w[1:], strict=False)})
 
 
