@@ -4,14 +4,17 @@ Counts. Baskets and items of a group form a 0/1 matrix; counts of pairs are the
 columns. They are taken tile by tile: items are divided into parts of about TILE, and each pair of
 parts is multiplied in slices of baskets, so no pair is ever written for a basket, no part of a
 group grows beyond two tiles of counts, and a group with very many rows is divided among tasks by
-baskets. Items that no partner could lift to the asked ratio are left out beforehand: n_ab is at
+baskets. A row goes to those pairs of parts only of which its basket holds items. Items that no partner could lift to the asked ratio are left out beforehand: n_ab is at
 most min(n_a, n_b), so a ratio of r asks for r * max(n_a, n_b) <= n.
 
 Null. The bipartite configuration model with the frequencies of the items and the sizes of the
 baskets as expectations: p(item in basket) = x y / (1 + x y), fitted over the classes of equal
 frequency and equal size, so the fit costs no more than the square of their number. The number of
 baskets with both items is then Poisson-binomial; its tail is summed from exact convolutions over
-size classes. Benjamini-Hochberg over all pairs of items of a group gives the q-values.
+size classes. A model is fitted once a group; tails are computed for classes of pairs with the same
+degrees and count, divided among tasks. Benjamini-Hochberg runs over all pairs of items of a group,
+where a pair below the asked count or ratio enters with 1 instead of its tail: that is no less, so the
+rate is controlled, and ``q_bound`` is never below the q-value that all tails would give.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,8 @@ from strandloom.session import cut_lineage, ship
 
 #: Items of a part, rows of a matrix slice, and rows of a group that one task takes.
 TILE, SLICE, ROWS = 256, 8_192, 500_000
-#: Tasks that fit null models; groups are spread over them.
-TASKS = 96
+#: Tasks that fit null models, groups being spread over them, and classes of pairs whose tails one task computes.
+TASKS, CLASSES = 96, 500
 
 
 def _count_group(rows: list[pa.Table | pa.RecordBatch], least: int, lift: float):
@@ -120,10 +124,14 @@ def pair_counts(rows: DataFrame, sizes: DataFrame, least: int = 5, lift: float =
     )
     fit = fit.join(of_group, "group")
     held = rows.join(fit, ["group", "item"]).withColumn("part", F.pmod(F.xxhash64("item"), "parts").cast("int"))
-    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "group", "basket", "item", "n_item", "n", "shares", "part",
-        F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"),
-        F.pmod(F.xxhash64("basket"), "shares").cast("int").alias("share"),
+    held = held.select("group", "basket", "item", "n_item", "n", "shares", "parts", "part", F.pmod(F.xxhash64("basket"), "shares").cast("int").alias("share"))
+    # a group of one part needs no partners; of the others, each basket names the parts that it holds
+    single = held.where("parts = 1").withColumn("other", F.lit(0))
+    several = held.where("parts > 1")
+    present = several.select("group", "basket", "part").distinct().groupBy("group", "basket").agg(F.collect_list("part").alias("others"))
+    several = several.join(present, ["group", "basket"]).withColumn("other", F.explode("others")).drop("others")
+    cells = single.unionByName(several).select(
+        "group", "basket", "item", "n_item", "n", "shares", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "share"
     ).withColumn("cell", F.concat_ws("/", "part_a", "part_b", "share", "group"))
     counted = (
         cells.repartition("cell")
@@ -136,11 +144,12 @@ def pair_counts(rows: DataFrame, sizes: DataFrame, least: int = 5, lift: float =
     return whole.where((F.col("n_ab") >= least) & (F.col("n_ab") * F.col("n") >= F.lit(float(lift)) * F.col("n_a") * F.col("n_b")))
 
 
-def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndarray, basket_count: np.ndarray, rounds: int = 500, tolerance: float = 1e-8):
-    """Multipliers (x of each frequency class, y of each size class) of the configuration model.
+def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndarray, basket_count: np.ndarray, rounds: int = 20_000, tolerance: float = 1e-9):
+    """Multipliers (x of each frequency class, y of each size class) of the configuration model, and the residual.
 
     Items of all baskets and baskets of all items are certain (an infinite multiplier); they are
-    peeled off before the rest is fitted by fixed-point iteration.
+    peeled off before the rest is fitted by fixed-point iteration. The residual is the greatest
+    relative difference of a degree from its expectation; it tells whether the fit has converged.
     """
     f, s = item_freq.astype(float), basket_size.astype(float)
     cf, cs = item_count.astype(float), basket_count.astype(float)
@@ -156,6 +165,7 @@ def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndar
         cs = np.where(full_basket, 0, cs)
         if not full_item.any() and not full_basket.any():
             break
+    residual = 0.0
     i, j = np.flatnonzero((cf > 0) & (f > 0)), np.flatnonzero((cs > 0) & (s > 0))
     if len(i) and len(j):
         f, s, cf, cs = f[i], s[j], cf[i], cs[j]
@@ -169,7 +179,9 @@ def fit_null(item_freq: np.ndarray, item_count: np.ndarray, basket_size: np.ndar
             if done:
                 break
         x[i], y[j] = u, v
-    return x, y
+        p = u[:, None] * v[None, :] / (1 + u[:, None] * v[None, :])
+        residual = float(max(np.abs((p * cs[None, :]).sum(1) / f - 1).max(), np.abs((p * cf[:, None]).sum(0) / s - 1).max()))
+    return x, y, residual
 
 
 def probability(x: float, y: np.ndarray) -> np.ndarray:
@@ -216,24 +228,32 @@ def expected_and_tail(model: tuple, n_a: int, n_b: int, n_ab: int) -> tuple[floa
     return float((p * basket_count).sum()), poisson_binomial_tail(p, basket_count, n_ab)
 
 
-def _surprise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Null expectation and tail of each class (group, n_a, n_b, n_ab), with the group's degree classes in the row."""
-    known, model = None, None
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fitted model of each group from its degree classes."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            if known != r["group"]:
-                freq = np.array([(d["degree"], d["many"]) for d in r["items"]], dtype=np.int64)
-                size = np.array([(d["degree"], d["many"]) for d in r["baskets"]], dtype=np.int64)
-                freq, size = freq[np.argsort(freq[:, 0])], size[np.argsort(size[:, 0])]
-                x, y = fit_null(freq[:, 0], freq[:, 1], size[:, 0], size[:, 1])
-                known, model = r["group"], (freq[:, 0], size[:, 1], x, y)
-            out.append(expected_and_tail(model, r["n_a"], r["n_b"], r["n_ab"]))
-        expected, tail = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in ("group", "n_a", "n_b", "n_ab")] + [pa.array(expected, pa.float64()), pa.array(tail, pa.float64())],
-            names=["group", "n_a", "n_b", "n_ab", "expected", "p_value"],
-        )
+            freq = np.array(sorted((d["degree"], d["many"]) for d in r["items"]), dtype=np.int64)
+            size = np.array(sorted((d["degree"], d["many"]) for d in r["baskets"]), dtype=np.int64)
+            x, y, residual = fit_null(freq[:, 0], freq[:, 1], size[:, 0], size[:, 1])
+            out.append({"group": r["group"], "item_freq": freq[:, 0].tolist(), "basket_count": size[:, 1].tolist(), "x": x.tolist(), "y": y.tolist(), "residual": residual})
+        yield pa.RecordBatch.from_pylist(out, schema=_MODEL)
+
+
+_MODEL = pa.schema(
+    [("group", pa.string()), ("item_freq", pa.list_(pa.int64())), ("basket_count", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())),
+     ("y", pa.list_(pa.float64())), ("residual", pa.float64())]
+)
+
+
+def _tails(classes: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    """Null expectation and tail of some classes of one group."""
+    m = models.iloc[0]
+    model = (np.asarray(m["item_freq"]), np.asarray(m["basket_count"]), np.asarray(m["x"]), np.asarray(m["y"]))
+    found = [expected_and_tail(model, *c) for c in classes[["n_a", "n_b", "n_ab"]].itertuples(index=False)]
+    return classes.assign(expected=[f[0] for f in found], p_value=[f[1] for f in found], residual=m["residual"])[
+        ["group", "n_a", "n_b", "n_ab", "pairs", "expected", "p_value", "residual"]
+    ]
 
 
 def together(
@@ -251,7 +271,8 @@ def together(
     """Pairs of items of a group with n_ab >= least and n_ab * n >= lift * n_a * n_b.
 
     Gives the group, item_a < item_b, n_a, n_b, n_ab, n and, with ``surprise``, expected (under the
-    null), p_value and q_value (over all pairs of items that occur in the group).
+    null), p_value, q_bound (over all pairs of items that occur in the group) and the residual of the
+    group's fit.
 
     Defined results: n counts the distinct baskets of ``all_baskets``, those without items included;
     rows with a null item, basket or group count for nothing; repeated rows count once; empty
@@ -288,19 +309,24 @@ def _with_surprise(pairs: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataF
         "group", "items", F.when(F.col("n") > F.col("n_baskets"), F.concat("baskets", F.array(empty))).otherwise(F.col("baskets")).alias("baskets"),
         (F.col("n_items") * (F.col("n_items") - 1) / 2).alias("tests"),
     )
-    # the tail depends on the degrees and the count only: pairs are few classes
-    classes = pairs.groupBy("group", "n_a", "n_b", "n_ab").agg(F.count("*").alias("pairs"))
-    tails = (
-        classes.join(model.drop("tests"), "group")
-        .select("group", "n_a", "n_b", "n_ab", "items", "baskets")
+    fitted = cut_lineage(
+        model.drop("tests").join(pairs.select("group").distinct(), "group", "left_semi").select("group", "items", "baskets")
         # few rows, much work on each: a fixed number of partitions, which isn't coalesced by size
         .repartition(TASKS, "group")
-        .sortWithinPartitions("group")
-        .mapInArrow(_surprise, "group string, n_a bigint, n_b bigint, n_ab bigint, expected double, p_value double")
-    )
-    ranked = tails.join(classes, ["group", "n_a", "n_b", "n_ab"]).join(model.select("group", "tests"), "group")
+        .mapInArrow(_fit, "group string, item_freq array<bigint>, basket_count array<bigint>, x array<double>, y array<double>, residual double")
+    )
+    # the tail depends on the degrees and the count only: pairs are few classes, of which a task takes CLASSES
+    classes = pairs.groupBy("group", "n_a", "n_b", "n_ab").agg(F.count("*").alias("pairs"))
+    chunks = classes.groupBy("group").agg(F.ceil(F.count("*") / F.lit(CLASSES)).cast("int").alias("chunks"))
+    spread = classes.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), "chunks").cast("int")).drop("chunks")
+    copies = fitted.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    tails = cut_lineage(
+        spread.groupBy("group", "chunk").cogroup(copies.groupBy("group", "chunk"))
+        .applyInPandas(_tails, "group string, n_a bigint, n_b bigint, n_ab bigint, pairs bigint, expected double, p_value double, residual double")
+    )
+    ranked = tails.join(model.select("group", "tests"), "group")
     by_p = Window.partitionBy("group").orderBy("p_value").rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("group").orderBy(F.col("p_value").desc()).rangeBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("rank", F.sum("pairs").over(by_p))
-    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col("p_value") * F.col("tests") / F.col("rank")).over(down)))
-    return pairs.join(ranked.select("group", "n_a", "n_b", "n_ab", "expected", "p_value", "q_value"), ["group", "n_a", "n_b", "n_ab"])
+    ranked = ranked.withColumn("q_bound", F.least(F.lit(1.0), F.min(F.col("p_value") * F.col("tests") / F.col("rank")).over(down)))
+    return pairs.join(ranked.select("group", "n_a", "n_b", "n_ab", "expected", "p_value", "q_bound", "residual"), ["group", "n_a", "n_b", "n_ab"])

@@ -1,17 +1,24 @@
 """Long exact spans shared between records, by prefix-partitioned suffix trees.
 
 A span is shared if the same LENGTH letters stand in at least one other record. Suffixes are divided
-by their prefixes into groups that fit into memory, and each group's part of the suffix tree is read
-off its sorted suffixes: an internal node LENGTH letters deep whose leaves come from two records is
-a shared window.
+by their prefixes into groups that fit into memory, and the part of the suffix tree of each group is
+built from its sorted suffixes: neighbours in that order with the number of letters they have in
+common are the tree, a stretch of neighbours with d letters in common being a node of depth d.
 
 Not every suffix is needed. Each window of LENGTH letters has ANCHOR-letter sub-words, and the one
 of least hash is the window's anchor; equal windows have equal anchors at equal places. So only
 suffixes at anchors (about two in LENGTH - ANCHOR + 2 positions) are sent, each with the letters
-before it, and every window is seen in the group of its anchor. Suffixes are grouped by the
-anchor's letters. Prefixes have variable length: where an anchor is so frequent that its group
-would not fit, the prefix is the whole window: equal surroundings are made one, and a window's node
-is found by a partial aggregate (least and greatest record) instead of in memory. The list of such anchors is bounded, see MOST_LONG.
+before it, and every window is seen in the group of its anchor. A group has two trees then: of the
+suffixes at the anchor, and of the letters before it read backwards. A maximal repeat through the
+anchor is a node of depth d of the first tree met with a node of depth b of the second, whose common
+leaves come from two records; with b + d = LENGTH it is a shared window.
+
+Prefixes have variable length. They begin with the ANCHOR letters of the anchor. A group of more than
+GROUP suffixes is first made one row per different surroundings (the prefix is all letters around the
+anchor), with the least and greatest record of each, combined on the map side; if as many are left
+that the group still doesn't fit, its prefixes become whole windows, whose node needs no memory at
+all: two records of a window are a partial aggregate. The bound on a group is the same for tables
+of any size, and nothing about groups goes to the driver.
 
 Records of the same letters are made one first: all their windows are shared.
 """
@@ -29,10 +36,8 @@ from pyspark.sql.window import Window
 from strandloom.session import cut_lineage, ship
 
 LENGTH, ANCHOR = 80, 24
-#: Suffixes of a group that is read in memory.
-GROUP = 20_000
-#: Anchors with longer prefixes: at most this many; beyond it the bound on a group rises in step with the table.
-MOST_LONG = 20_000
+#: Suffixes of a group that is read in memory, and suffixes whose trees are read together.
+GROUP, TOGETHER = 20_000, 50_000
 #: Letters read at a time, overlapping by LENGTH.
 PIECE = 1 << 20
 
@@ -114,51 +119,85 @@ def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[:, 0].astype(np.int64), raw[:, 1].astype(np.int64), letters
 
 
-def shared_windows(group: np.ndarray, owner: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix, least, greatest letters before it) of the suffixes with a window shared with another owner.
+def _sortable(letters: np.ndarray) -> list[np.ndarray]:
+    """Rows of letters as 64-bit words of 32 letters each, the first word first; their order is that of the letters."""
+    n, width = letters.shape
+    padded = np.zeros((n, -(-width // 32) * 32), dtype=np.uint8)
+    padded[:, :width] = letters
+    four = padded.reshape(n, -1, 4)
+    packed = (four[:, :, 0] << 6) | (four[:, :, 1] << 4) | (four[:, :, 2] << 2) | four[:, :, 3]
+    words = np.ascontiguousarray(packed).view(">u8").astype(np.uint64)
+    return [words[:, i] for i in range(words.shape[1])]
 
-    Goes through the nodes LENGTH letters deep for each number of letters before the anchor: the
-    suffixes of a node have equal windows; a node is shared if its owners differ.
+
+class Tree:
+    """The tree of texts of equal length inside groups: their order, and how many letters neighbours have in common."""
+
+    def __init__(self, group: np.ndarray, letters: np.ndarray):
+        self.order = np.lexsort((*_sortable(letters)[::-1], group))
+        rows, g = letters[self.order], group[self.order]
+        differ = rows[1:] != rows[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), letters.shape[1])
+        self.common = np.concatenate(([-1], np.where(g[1:] == g[:-1], common, -1))).astype(np.int16)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Of each text the node of ``depth`` above it: neighbours with so many letters in common are under one."""
+        out = np.empty(len(self.order), dtype=np.int64)
+        out[self.order] = np.cumsum(self.common < depth)
+        return out
+
+    def closest(self) -> np.ndarray:
+        """Of each text the depth of its parent: letters in common with any other text of its group."""
+        out = np.empty(len(self.order), dtype=np.int64)
+        out[self.order] = np.maximum(self.common, np.append(self.common[1:], -1))
+        return np.maximum(out, 0)
+
+
+def _extremes(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, least a, greatest b of the key of each) in order of keys."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(begins, len(key)))
+    return order, np.repeat(np.minimum.reduceat(a[order], begins), sizes), np.repeat(np.maximum.reduceat(b[order], begins), sizes)
+
+
+def maximal_repeats(group: np.ndarray, a: np.ndarray, b: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, least, greatest letters before the anchor) of the rows with a window shared between owners.
+
+    ``a`` and ``b`` are the least and the greatest owner of a row (one row may stand for several
+    suffixes with the same letters around). All windows of a row that are shared contain its anchor,
+    so what they cover is one stretch.
     """
-    n = len(raw)
     left, right, letters = _unpacked(raw)
+    after, before = Tree(group, letters[:, LEFT:]), Tree(group, letters[:, LEFT - 1 :: -1])
+    n = len(raw)
     low, high = np.full(n, LENGTH), np.full(n, -1)
-    # 32-letter words from every place of a row
-    code = letters.astype(np.uint64)
-    words = np.zeros((n, SPAN - 31), dtype=np.uint64)
-    have, width = code, 1
-    while width < 32:
-        have = (have[:, :-width] << np.uint64(2 * width)) | have[:, width:]
-        width *= 2
-    words = have
-    for before in range(LEFT + 1):
-        rows = np.flatnonzero((left >= before) & (right >= LENGTH - before))
-        if len(rows) < 2:
-            continue
-        s = LEFT - before
-        a, b, c = words[rows, s], words[rows, s + 32], words[rows, s + 48]  # the last two overlap
-        key = _mix(_mix(_mix(a) + b) + c + group[rows].astype(np.uint64))
-        order = np.argsort(key)
-        key, a, b, c, g, o = key[order], a[order], b[order], c[order], group[rows][order], owner[rows][order]
-        same = (key[1:] == key[:-1])
-        if not same.any():
-            continue
-        equal = same & (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1]) & (g[1:] == g[:-1])
-        if (same != equal).any():  # different windows of one key: order them by their letters
-            order2 = np.lexsort((c, b, a, g))
-            order, a, b, c, g, o = order[order2], a[order2], b[order2], c[order2], g[order2], o[order2]
-            equal = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1]) & (g[1:] == g[:-1])
-        begins = np.flatnonzero(np.concatenate(([True], ~equal)))
-        sizes = np.diff(np.append(begins, len(o)))
-        shared = np.repeat(np.minimum.reduceat(o, begins) != np.maximum.reduceat(o, begins), sizes)
-        hit = rows[order[shared]]
-        low[hit] = np.minimum(low[hit], before)
-        high[hit] = before
+    # rows of one leaf in both trees; if they have two owners, all their windows are shared
+    leaf = (after.nodes(LENGTH) * (n + 1) + before.nodes(LEFT)) * (LENGTH + 1) * (LENGTH + 1) + left * (LENGTH + 1) + right
+    order, least, greatest = _extremes(leaf, a, b)
+    whole = order[(least != greatest) & (left[order] + right[order] >= LENGTH)]
+    low[whole], high[whole] = LENGTH - right[whole], left[whole]
+    # the others need a node above their leaf: only where both parents are deep enough, and in groups with such rows
+    deep = np.minimum(after.closest(), right) + np.minimum(before.closest(), left) >= LENGTH
+    open_ = deep & (high < 0)
+    groups = np.zeros(int(group.max()) + 1, dtype=bool)
+    groups[group[open_]] = True
+    deep &= groups[group]
+    if open_.any():
+        for letters_before in range(LEFT + 1):
+            depth = LENGTH - letters_before
+            rows = np.flatnonzero(deep & (left >= letters_before) & (right >= depth))
+            if len(rows) < 2:
+                continue
+            order, least, greatest = _extremes(after.nodes(depth)[rows] * (n + 1) + before.nodes(letters_before)[rows], a[rows], b[rows])
+            hit = rows[order[least != greatest]]
+            low[hit] = np.minimum(low[hit], letters_before)
+            high[hit] = np.maximum(high[hit], letters_before)
     found = np.flatnonzero(high >= 0)
     return found, low[found], high[found]
 
 
-
 def _letters(seq: str) -> np.ndarray:
     """A code for each character of the sequence; characters outside ASCII are no valid letters."""
     if seq.isascii():
@@ -207,18 +246,17 @@ def _merge_small(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Itera
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _suffix_rows(long_anchors: np.ndarray):
-    """Rows of anchor suffixes: (anchor, owner, place, context, kind); kind 1 marks suffixes of long anchors."""
+def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of anchor suffixes: (anchor, owner, place, context)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, seq in zip(batch.column(0), batch.column(1), strict=True):
                 for offset, code, at, words in _pieces(seq.as_py()):
                     if len(at):
-                        kind = np.isin(words, long_anchors) if len(long_anchors) else np.zeros(len(at), dtype=bool)
-                        yield _row_batch(words, owner, at + offset, contexts(code, at), kind)
+                        yield _row_batch(words, owner, at + offset, contexts(code, at))
 
-    return lambda batches: _merge_small(rows(batches))
+    return _merge_small(rows())
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,25 +280,31 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def _long_intervals(suffixes: DataFrame) -> DataFrame:
-    """Shared intervals of suffixes of long anchors, without ever holding a group.
+def _large_groups(suffixes: DataFrame, group: int) -> DataFrame:
+    """Shared intervals of suffixes whose groups are too large, without ever holding a group.
 
-    Equal contexts become one row with the least and greatest owner, on the map side first, so copies
-    cost nothing here; what differs is expanded into windows, whose owners are combined the same way.
+    Equal surroundings become one row with the least and greatest owner, on the map side first, so
+    copies cost nothing here. Groups that fit then are read as trees; those that still don't are
+    expanded into windows, whose owners are combined the same way.
     """
     key = ["anchor", "context"]
     distinct = cut_lineage(suffixes.groupBy(*key).agg(F.min("owner").alias("a"), F.max("owner").alias("b")))
-    windows = distinct.mapInArrow(_window_rows, "anchor bigint, context binary, before int, window binary, a binary, b binary")
-    nodes = windows.groupBy("window").agg(F.min("a").alias("least"), F.max("b").alias("greatest")).where("least <> greatest")
-    shared = windows.join(nodes.select("window"), "window", "left_semi").groupBy(*key).agg(F.min("before").alias("low"), F.max("before").alias("high"))
+    many = cut_lineage(distinct.groupBy("anchor").count().where(F.col("count") > group).select("anchor"))
+    fits = distinct.join(many, "anchor", "left_anti")
+    shared = fits.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged_trees, "anchor bigint, context binary, low int, high int")
+    if not many.isEmpty():
+        windows = distinct.join(many, "anchor", "left_semi").mapInArrow(_window_rows, "anchor bigint, context binary, before int, window binary, a binary, b binary")
+        nodes = windows.groupBy("window").agg(F.min("a").alias("least"), F.max("b").alias("greatest")).where("least <> greatest")
+        found = windows.join(nodes.select("window"), "window", "left_semi").groupBy(*key).agg(F.min("before").alias("low"), F.max("before").alias("high"))
+        shared = shared.unionByName(found)
     hits = suffixes.join(shared, key)
     return hits.select("owner", (F.col("place") - F.col("high")).alias("low"), (F.col("place") - F.col("low") + LENGTH).alias("high"))
 
 
-_ROW = pa.schema([("anchor", pa.int64()), ("owner", pa.binary()), ("place", pa.int64()), ("context", pa.binary()), ("kind", pa.int8())])
+_ROW = pa.schema([("anchor", pa.int64()), ("owner", pa.binary()), ("place", pa.int64()), ("context", pa.binary())])
 
 
-def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
     n, width = raw.shape
     offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)).buffers()[1]
     data = pa.py_buffer(np.ascontiguousarray(raw).tobytes())
@@ -269,45 +313,12 @@ def _row_batch(words: np.ndarray, owner, place: np.ndarray, raw: np.ndarray, kin
         pa.binary(), n, [None, pa.array(np.arange(0, (n + 1) * len(name), len(name), dtype=np.int32)).buffers()[1], pa.py_buffer(name * n)]
     )
     return pa.RecordBatch.from_arrays(
-        [pa.array(words.view(np.int64)), owners, pa.array(place, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, data]),
-         pa.array(kind.astype(np.int8))], schema=_ROW,
-    )
-
-
-#: Suffixes whose trees are read together.
-TOGETHER = 50_000
-
+        [pa.array(words.view(np.int64)), owners, pa.array(place, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, data])], schema=_ROW
+    )
 
-def _read_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of shared letters from suffixes sorted by anchor; whole groups are read together."""
-
-    def read(table: pa.Table) -> pa.RecordBatch | None:
-        table = table.combine_chunks()
-        group = table["anchor"].to_numpy()
-        owners = table["owner"].combine_chunks().dictionary_encode()
-        if isinstance(owners, pa.ChunkedArray):
-            owners = owners.combine_chunks()
-        owner = owners.indices.to_numpy().astype(np.int64)
-        begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        sizes = np.diff(np.append(begins, len(group)))
-        several = np.repeat(np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins), sizes)
-        keep = np.flatnonzero(several)
-        if not len(keep):
-            return None
-        context = table["context"].combine_chunks()
-        if isinstance(context, pa.ChunkedArray):
-            context = context.combine_chunks()
-        context = context.take(pa.array(keep))
-        raw = np.frombuffer(context.buffers()[2], dtype=np.uint8)[: len(keep) * (2 + SPAN // 4)].reshape(len(keep), -1)
-        found, low, high = shared_windows(group[keep], owner[keep], raw)
-        if not len(found):
-            return None
-        place = table["place"].to_numpy()[keep[found]]
-        return pa.RecordBatch.from_arrays(
-            [table["owner"].combine_chunks().take(pa.array(keep[found])), pa.array(place - high), pa.array(place - low + LENGTH)],
-            names=["owner", "low", "high"],
-        )
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by anchor, whole groups together; a group has at most GROUP rows, so little is held over."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -316,16 +327,58 @@ def _read_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         n += batch.num_rows
         if n >= TOGETHER:
-            table = pa.Table.from_batches(held)
-            last = table["anchor"][-1].as_py()
+            table = pa.Table.from_batches(held).combine_chunks()
             anchor = table["anchor"].to_numpy()
-            cut = int(np.searchsorted(anchor, last, side="left"))
+            cut = int(np.searchsorted(anchor, anchor[-1], side="left"))
             if cut:
-                if (out := read(table.slice(0, cut))) is not None:
-                    yield out
-                held, n = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
-    if n and (out := read(pa.Table.from_batches(held))) is not None:
-        yield out
+                yield table.slice(0, cut)
+                held, n = table.slice(cut).to_batches(), table.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _plain(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _repeats_of(table: pa.Table, least: str, greatest: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high) of the rows of whole groups with shared windows; groups of one owner are left out first."""
+    anchor = table["anchor"].to_numpy()
+    begins = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    sizes = np.diff(np.append(begins, len(anchor)))
+    names = _plain(table[least]) if least == greatest else pa.concat_arrays([_plain(table[least]), _plain(table[greatest])])
+    codes = names.dictionary_encode().indices.to_numpy().astype(np.int64)
+    a, b = codes[: len(anchor)], codes[-len(anchor) :]
+    several = np.repeat(np.minimum.reduceat(np.minimum(a, b), begins) != np.maximum.reduceat(np.maximum(a, b), begins), sizes)
+    keep = np.flatnonzero(several)
+    if not len(keep):
+        return keep, keep, keep
+    context = _plain(table["context"]).take(pa.array(keep))
+    raw = np.frombuffer(context.buffers()[2], dtype=np.uint8)[: len(keep) * (2 + SPAN // 4)].reshape(len(keep), -1)
+    number = np.repeat(np.arange(len(begins)), sizes)[keep]
+    found, low, high = maximal_repeats(number, np.minimum(a, b)[keep], np.maximum(a, b)[keep], raw)
+    return keep[found], low, high
+
+
+def _read_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of shared letters from suffixes sorted by anchor."""
+    for table in _whole_groups(batches):
+        found, low, high = _repeats_of(table, "owner", "owner")
+        if len(found):
+            place = table["place"].to_numpy()[found]
+            yield pa.RecordBatch.from_arrays([_plain(table["owner"]).take(pa.array(found)), pa.array(place - high), pa.array(place - low + LENGTH)], names=["owner", "low", "high"])
+
+
+def _merged_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of letters before the anchor of shared windows, from rows of distinct surroundings sorted by anchor."""
+    for table in _whole_groups(batches):
+        found, low, high = _repeats_of(table, "a", "b")
+        if len(found):
+            rows = pa.array(found)
+            yield pa.RecordBatch.from_arrays(
+                [_plain(table["anchor"]).take(rows), _plain(table["context"]).take(rows), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["anchor", "context", "low", "high"]
+            )
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,18 +421,15 @@ def shared_spans(records: DataFrame, group: int = GROUP) -> DataFrame:
     )
     distinct = cut_lineage(rows.groupBy("owner").agg(F.count("*").alias("copies"), F.first("seq").alias("seq")))
     frequent = distinct.select("seq").mapInArrow(lambda b: _merge_small(_anchor_letters(b)), "anchor bigint").groupBy("anchor").count()
-    total = distinct.agg(F.sum(F.length("seq"))).first()[0] or 0
-    least = max(group, int(total / (LEFT + 2) * 2) // MOST_LONG)
-    long_anchors = np.array([r[0] for r in frequent.where(F.col("count") > least).select("anchor").collect()], dtype=np.int64).view(np.uint64)
-    sent = distinct.select("owner", "seq").mapInArrow(_suffix_rows(np.sort(long_anchors)), "anchor bigint, owner binary, place bigint, context binary, kind tinyint")
+    large = cut_lineage(frequent.where(F.col("count") > group).select("anchor"))
     found = "owner binary, low bigint, high bigint"
-    if len(long_anchors):
-        sent = cut_lineage(sent)
-    suffixes = sent.where("kind = 0").select("anchor", "owner", "place", "context")
-    read = suffixes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_read_trees, found)
+    suffixes = distinct.select("owner", "seq").mapInArrow(_suffix_rows, "anchor bigint, owner binary, place bigint, context binary")
     whole = distinct.where("copies > 1").select("owner", "seq").mapInArrow(_whole_runs, found)
-    intervals = read.unionByName(whole)
-    if len(long_anchors):
-        intervals = intervals.unionByName(_long_intervals(sent.where("kind = 1").select("anchor", "owner", "place", "context")))
+    intervals = whole
+    if not large.isEmpty():
+        sent = cut_lineage(suffixes)
+        suffixes = sent.join(large, "anchor", "left_anti")
+        intervals = whole.unionByName(_large_groups(sent.join(large, "anchor", "left_semi"), group))
+    intervals = intervals.unionByName(suffixes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_read_trees, found))
     spans = merge_intervals(intervals, ["owner"])
     return rows.select("record_kind", "record_id", "owner").join(spans, "owner").select("record_kind", "record_id", "span_start", "span_end")

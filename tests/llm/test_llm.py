@@ -135,7 +135,13 @@ def test_pairs_equal_brute_force(spark):
         got = cooccur.together(nodes, paths, "graph_id", "path_id", "block_id", surprise=False, tile=tile, share=share)
         assert rows(got, "graph_id", "item_a", "item_b", "n_a", "n_b", "n_ab", "n") == sorted(want, key=repr)
     full = cooccur.together(nodes, paths, "graph_id", "path_id", "block_id").collect()
-    assert len(full) == len(want) and all(0 <= r["p_value"] <= r["q_value"] <= 1 for r in full)
+    assert len(full) == len(want) and all(0 <= r["p_value"] <= r["q_bound"] <= 1 and r["residual"] < 1e-6 for r in full)
+    for g in {r["graph_id"] for r in full}:  # Benjamini-Hochberg over all pairs, those that aren't listed having 1
+        items = len({b for h, b in sets if h == g})
+        mine = sorted((r["p_value"], r["q_bound"]) for r in full if r["graph_id"] == g)
+        p = [x for x, _ in mine] + [1.0] * (items * (items - 1) // 2 - len(mine))
+        for x, q in mine:
+            assert q == pytest.approx(min(1.0, min(y * len(p) / sum(z <= y for z in p) for y in p if y >= x)))
     assert cooccur.together(nodes.limit(0), paths, "graph_id", "path_id", "block_id").count() == 0
 
 
@@ -144,7 +150,9 @@ def test_null_model_keeps_frequencies_and_sizes():
     m = rng.random((30, 40)) < np.concatenate((rng.beta(0.5, 2, 38), [1, 1]))
     f, cf = np.unique(m.sum(0), return_counts=True)
     s, cs = np.unique(m.sum(1), return_counts=True)
-    x, y = cooccur.fit_null(f, cf, s, cs)
+    x, y, residual = cooccur.fit_null(f, cf, s, cs)
+    assert residual < 1e-6
+    assert cooccur.fit_null(f, cf, s, cs, rounds=2)[2] > 1e-6
     p = np.array([cooccur.probability(a, y) for a in x])
     assert np.allclose((p * cs).sum(1), f, atol=1e-4) and np.allclose((p * cf[:, None]).sum(0), s, atol=1e-4)
 
@@ -181,7 +189,7 @@ def _shared(records):
     return sorted(("fasta", k, a, b) for k, (a, b) in spans_)
 
 
-@pytest.mark.parametrize("group", [20_000, 2])
+@pytest.mark.parametrize("group", [20_000, 6, 2])
 def test_spans_equal_brute_force(spark, group):
     rng = random.Random(6)
     core, other = dna(rng, 400), dna(rng, 130)
