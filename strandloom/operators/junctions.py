@@ -52,7 +52,7 @@ def split_walks(walks: DataFrame, core: DataFrame) -> DataFrame:
 def junctions(walks: DataFrame, core: DataFrame) -> DataFrame:
     """Junctions with both flanks, co-oriented: graph, edge, path, idx, natural, center, center_key.
 
-    Graphs in which some path has fewer than two core blocks have no junctions. If an edge repeats
+    Graphs in which some path has fewer than two core blocks have no junctions; ``refused_graphs`` names them. If an edge repeats
     in a path its last junction counts. Centers are read in the direction of the canonical edge.
     """
     split = split_walks(walks, core)
@@ -66,6 +66,13 @@ def junctions(walks: DataFrame, core: DataFrame) -> DataFrame:
     return last.select("graph_id", "edge", "path_id", "j.idx", "j.natural", "j.center", "j.center_key", "j.left", "j.right")
 
 
+def refused_graphs(walks: DataFrame, core: DataFrame) -> DataFrame:
+    """graph, fewest: graphs that have no junctions because a path of theirs holds fewer than two core blocks, and the least number."""
+    marks = core.select("graph_id", "block_id", F.lit(1).alias("is_core"))
+    held = walks.join(marks, ["graph_id", "block_id"], "left").groupBy("graph_id", "path_id").agg(F.count("is_core").alias("n_core"))
+    return held.groupBy("graph_id").agg(F.min("n_core").alias("fewest")).where("fewest < 2")
+
+
 def junction_stats(js: DataFrame, lengths: DataFrame) -> DataFrame:
     """One row per edge (A12): isolates, non-empty ones, categories, majority, flags, flank and accessory lengths."""
     per_category = js.groupBy("graph_id", "edge", "center_key").agg(F.count("*").alias("n"))

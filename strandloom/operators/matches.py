@@ -114,8 +114,8 @@ def anchors(matches: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.withColumn("anchor", side).select(*matches.columns, "anchor")
 
 
-def hits_of_blocks(matches: DataFrame) -> DataFrame:
-    """Each match seen from both its blocks (J3, G12): block, start, end, is_anchor, orientation, cigar, new_block.
+def hits_of_blocks(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Each match seen from both its blocks (J3, G12): block, start, end, is_anchor, orientation, cigar, new_block, and ``keys``.
 
     The cigar of the query side has its roles swapped, and is read backwards if the match is reverse.
     """
@@ -123,12 +123,12 @@ def hits_of_blocks(matches: DataFrame) -> DataFrame:
     keyed = matches.withColumn("new_block", new_id)
     ref = keyed.select(
         F.col("r_name").alias("block"), F.col("r_start").alias("start"), F.col("r_end").alias("end"),
-        (F.col("anchor") == "ref").alias("is_anchor"), "forward", "cigar", "new_block",
+        (F.col("anchor") == "ref").alias("is_anchor"), "forward", "cigar", "new_block", *(keys or []),
     )
     turned = F.when(F.col("forward"), F.col("cigar")).otherwise(cg.invert(F.col("cigar")))
     qry = keyed.select(
         F.col("q_name").alias("block"), F.col("q_start").alias("start"), F.col("q_end").alias("end"),
-        (F.col("anchor") == "qry").alias("is_anchor"), "forward", cg.swap_sides(turned).alias("cigar"), "new_block",
+        (F.col("anchor") == "qry").alias("is_anchor"), "forward", cg.swap_sides(turned).alias("cigar"), "new_block", *(keys or []),
     )
     return ref.unionByName(qry)
 

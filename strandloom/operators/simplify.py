@@ -62,7 +62,10 @@ def chains(g: Graphs, edges: DataFrame) -> DataFrame:
 
 
 def contract(g: Graphs) -> Graphs:
-    """The graph with all transitive edges contracted; reconstructed genomes stay the same."""
+    """The graph with all transitive edges contracted; reconstructed genomes stay the same.
+
+    A node without an Edit, whose letters are unknown, is a deletion in the node that it becomes part of.
+    """
     edges = cut_lineage(transitive_edges(g.walks))
     if edges.isEmpty():
         return g
@@ -98,11 +101,16 @@ def contract(g: Graphs) -> Graphs:
     )
     firsts = cut_lineage(firsts.select(*by, "new_node", "new_ord", "pos_start", "pos_end"))
     # edits
-    members = on.select(*by, "node_id", "offset", "chain_fwd", "place").join(firsts.select(*by, "new_node"), by)
-    al = g.alignments.join(members.select("node_id", "new_node", F.col("chain").alias("__chain"), "offset", "chain_fwd", "place"), "node_id")
-    turned = F.when(F.col("chain_fwd"), F.col("edit")).otherwise(reverse_edit(F.length("consensus"), F.col("edit")))
+    members = on.select(*by, "node_id", "offset", "chain_fwd", "place", "len").join(firsts.select(*by, "new_node"), by)
+    al = members.select("graph_id", "node_id", "new_node", F.col("chain").alias("__chain"), "offset", "chain_fwd", "place", "len").join(g.alignments.select("node_id", "edit"), "node_id", "left")
+    # a node without an Edit has no letters: it is a gap beside others, and stays without if all of them are
+    gap = F.struct(
+        F.array().cast(EDIT_TYPES["subs"]).alias("subs"), F.array(F.struct(F.lit(0).alias("pos"), F.col("len").alias("len"))).cast(EDIT_TYPES["dels"]).alias("dels"), F.array().cast(EDIT_TYPES["inss"]).alias("inss")
+    ).cast(EDIT_TYPE)
+    al = al.withColumns({"known": F.col("edit").isNotNull(), "edit": F.coalesce(F.col("edit").cast(EDIT_TYPE), gap)})
+    turned = F.when(F.col("chain_fwd"), F.col("edit")).otherwise(reverse_edit(F.col("len"), F.col("edit")))
     moved = al.withColumn("turned", turned).withColumn("moved", shift_edit(F.col("turned"), F.col("offset")))
-    gathered = moved.groupBy("graph_id", F.col("__chain").alias("block_id"), F.col("new_node").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("place", "moved"))).alias("m"))
+    gathered = moved.groupBy("graph_id", F.col("__chain").alias("block_id"), F.col("new_node").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("place", "moved"))).alias("m"), F.max("known").alias("known")).where("known")
     flat = lambda k: F.flatten(F.transform("m", lambda x: x["moved"][k]))
     # insertions that meet at a border are one, in chain order
     inss = F.aggregate(

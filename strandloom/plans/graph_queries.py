@@ -14,6 +14,7 @@ from strandloom.functions import seq as sq
 from strandloom.operators import consensus, junctions, quality, sequences, stats, synteny, walks
 from strandloom.operators.components import connected_components
 from strandloom.session import cut_lineage, read_table
+from strandloom.sources import gfa
 from strandloom.tables import Graphs
 
 QUERIES: dict = {}
@@ -82,6 +83,22 @@ JUNCTIONS = """
 """
 
 
+SEQ = """
+    al AS (SELECT graph_id, block_id, consensus, unnest(map_entries(alignments)) AS e FROM blocks),
+    ed AS (SELECT graph_id, block_id, consensus, e.key AS node_id, coalesce(e.value.subs, []) AS subs, coalesce(e.value.dels, []) AS dels,
+                  coalesce(e.value.inss, []) AS inss FROM al WHERE e.value IS NOT NULL),
+    x0 AS (SELECT graph_id, block_id, node_id, consensus, inss, dels,
+                  list_reduce(list_concat([consensus], list_transform(list_filter(subs, lambda s: s IS NOT NULL), lambda s: s.pos || ':' || s.alt)),
+                    lambda acc, s: acc[:split_part(s, ':', 1)::INT] || split_part(s, ':', 2) || acc[split_part(s, ':', 1)::INT + 2:]) AS c1 FROM ed),
+    x1 AS (SELECT graph_id, block_id, node_id, consensus, inss,
+                  list_reduce(list_concat([c1], list_transform(list_filter(dels, lambda d: d IS NOT NULL), lambda d: d.pos || ':' || d.len)),
+                    lambda acc, d: acc[:split_part(d, ':', 1)::INT] || repeat('-', split_part(d, ':', 2)::INT)
+                                   || acc[split_part(d, ':', 1)::INT + split_part(d, ':', 2)::INT + 1:]) AS c2 FROM x0),
+    x2 AS (SELECT *, replace(list_reduce(list_concat([c2], list_transform(list_reverse_sort(list_transform(list_filter(inss, lambda i: i IS NOT NULL),
+                       lambda i: lpad(i.pos::VARCHAR, 9, '0') || ':' || i.seq)), lambda i: i)),
+                    lambda acc, i: acc[:split_part(i, ':', 1)::INT] || split_part(i, ':', 2) || acc[split_part(i, ':', 1)::INT + 1:]), '-', '') AS raw FROM x1)
+"""
+
 #: Queries that read the walk table once; for the others it is stored before they read it again.
 ONCE = {
     "a1_block_depth", "q2_block_counts", "q1_strains", "s9_duplicate_names", "o7_longest_block", "q4_path_dictionary", "a6_graph_links", "a6_edge_counts",
@@ -270,21 +287,91 @@ query(
 )(lambda g: junctions.consensus_edges(g.walks, near_core(g)))
 
 
-@query("q15_context_segments")
+CONTEXT = """
+    lab AS (SELECT graph_id, edge, 'J' || (row_number() OVER (PARTITION BY graph_id ORDER BY edge) - 1) AS label FROM (SELECT DISTINCT graph_id, edge FROM j)),
+    cx AS (SELECT j.graph_id, label, cb, list_concat([split_part(j.edge, '__', 1)], CASE WHEN center_key = '' THEN [] ELSE list_transform(string_split(center_key, '~'), lambda t: label || '_' || t) END,
+                  [split_part(j.edge, '__', 2)]) AS st FROM j JOIN lab ON lab.graph_id = j.graph_id AND lab.edge = j.edge)
+"""
+
+
+@query("q15_context_segments", "SELECT graph_id, label || '_' || b AS segment, count(*) AS depth FROM (SELECT graph_id, label, unnest(cb) AS b FROM cx) GROUP BY ALL", JUNCTIONS, CONTEXT)
 def q15_context_segments(g: Graphs) -> DataFrame:
     js = _junctions(g)
-    return junctions.context_links(js, junctions.consensus_edges(g.walks, near_core(g)))[0]
+    return junctions.context_links(js, js)[0]
 
 
-@query("q15_context_links")
+@query(
+    "q15_context_links",
+    """SELECT DISTINCT graph_id, left(x, length(x) - 2) AS left_segment, right(x, 1) = 'f' AS left_fwd, left(y, length(y) - 2) AS right_segment, right(y, 1) = 'f' AS right_fwd
+       FROM (SELECT graph_id, st[i] AS x, st[i + 1] AS y FROM (SELECT graph_id, st, unnest(range(1, len(st))) AS i FROM cx))""",
+    JUNCTIONS,
+    CONTEXT,
+)
 def q15_context_links(g: Graphs) -> DataFrame:
     js = _junctions(g)
-    return junctions.context_links(js, js)[1]
+    links = junctions.context_links(js, js)[1]
+    side = lambda s: [F.col(f"{s}.segment").alias(f"{s}_segment"), F.col(f"{s}.fwd").alias(f"{s}_fwd")]
+    return links.select("graph_id", *side("left"), *side("right"))
 
 
-@query("q14_junction_sequences")
+@query(
+    "q15_context_gfa",
+    """SELECT graph_id, section, sha256(value) AS line FROM (
+       SELECT DISTINCT graph_id, 0 AS section, 'H' || chr(9) || 'VN:Z:1.0' AS value FROM cx
+       UNION ALL SELECT s.graph_id, 1, concat_ws(chr(9), 'S', segment, '*', 'LN:i:' || greatest(1, len), 'DP:f:' || depth || '.0') FROM (
+         SELECT graph_id, label || '_' || b AS segment, b, count(*) AS depth FROM (SELECT graph_id, label, unnest(cb) AS b FROM cx) GROUP BY ALL
+         UNION ALL SELECT e.graph_id, e.b, e.b, st.count FROM (SELECT DISTINCT graph_id, left(unnest([st[1], st[len(st)]]), -2) AS b FROM cx) e JOIN st ON st.graph_id = e.graph_id AND st.block_id = e.b) s
+         JOIN bl ON bl.graph_id = s.graph_id AND bl.block_id = s.b
+       UNION ALL SELECT DISTINCT graph_id, 2, concat_ws(chr(9), 'L', left(x, -2), CASE WHEN right(x, 1) = 'f' THEN '+' ELSE '-' END, left(y, -2), CASE WHEN right(y, 1) = 'f' THEN '+' ELSE '-' END, '0M')
+         FROM (SELECT graph_id, st[i] AS x, st[i + 1] AS y FROM (SELECT graph_id, st, unnest(range(1, len(st))) AS i FROM cx)))""",
+    JUNCTIONS,
+    CONTEXT,
+)
+def q15_context_gfa(g: Graphs) -> DataFrame:
+    """Lines of the junction-context graph of every graph."""
+    lines = gfa.context_lines(_junctions(g), stats.block_stats(g))
+    return lines.select("graph_id", "section", F.sha2("value", 256).alias("line"))
+
+
+@query(
+    "q14_junction_sequences",
+    """, pw AS (SELECT path_id, block_id, node_id, fwd, row_number() OVER (PARTITION BY path_id ORDER BY ord) - 1 AS r, count(*) OVER (PARTITION BY path_id) AS n FROM w),
+    e AS (SELECT j.*, a.r AS lo, b.r AS ro, a.n FROM j JOIN pw a ON a.path_id = j.path_id AND a.block_id = lb JOIN pw b ON b.path_id = j.path_id AND b.block_id = rb),
+    s AS (SELECT graph_id, edge, path_id, "natural" AS nat, lo, n, unnest(range(0, CASE WHEN ro >= lo THEN ro - lo ELSE ro - lo + n END + 1)) AS i FROM e),
+    p AS (SELECT s.*, pw.node_id, pw.fwd FROM s JOIN pw ON pw.path_id = s.path_id AND pw.r = (lo + i) % s.n)
+    SELECT p.graph_id, edge, path_id, sha256(string_agg(CASE WHEN fwd = nat THEN raw ELSE reverse(translate(raw, 'ACGTYRWSKMDVHBN', 'TGCARYWSMKHBDVN')) END, '' ORDER BY CASE WHEN nat THEN i ELSE -i END)) AS seq
+    FROM p JOIN x2 USING (node_id) GROUP BY ALL""",
+    JUNCTIONS,
+    SEQ,
+)
 def q14_junction_sequences(g: Graphs) -> DataFrame:
-    return junctions.junction_sequences(_junctions(g), sequences.node_sequences(g), g.walks)
+    return junctions.junction_sequences(_junctions(g), sequences.node_sequences(g), g.walks).withColumn("seq", F.sha2("seq", 256))
+
+
+# ---- the strict backbone: core blocks of 500 letters and more
+
+_STRICT = BASE[: BASE.index("nb AS (")] + "nb AS (SELECT graph_id, block_id FROM st WHERE core AND len >= 500)"
+
+
+def strict(name: str, sql: str, *parts: str):
+    def register(f):
+        QUERIES[name] = lambda spark, folder: f(Graphs.load(spark, folder).stored())
+        ORACLE[name] = f"WITH {','.join((_STRICT, *parts))} {sql}"
+        return f
+
+    return register
+
+
+strict("f7_backbone", "SELECT graph_id, block_id, len FROM nb JOIN bl USING (graph_id, block_id)")(junctions.backbone)
+strict("f7_backbone_walks", "SELECT graph_id, path_id, node_id, (row_number() OVER (PARTITION BY path_id ORDER BY ord) - 1)::INT AS ord FROM w SEMI JOIN nb USING (graph_id, block_id)")(
+    lambda g: walks.filter_walks(g.walks, junctions.backbone(g)).select("graph_id", "path_id", "node_id", "ord")
+)
+strict("q11_strict_junctions", 'SELECT graph_id, edge, path_id, "natural", center_key FROM j', JUNCTIONS)(
+    lambda g: junctions.junctions(g.walks, junctions.backbone(g)).select("graph_id", "edge", "path_id", "natural", "center_key")
+)
+strict("q11_refused_graphs", "SELECT graph_id, min(n_core) AS fewest FROM (SELECT graph_id, path_id, count(nb.block_id) AS n_core FROM w LEFT JOIN nb USING (graph_id, block_id) GROUP BY ALL) GROUP BY ALL HAVING min(n_core) < 2")(
+    lambda g: junctions.refused_graphs(g.walks, junctions.backbone(g))
+)
 
 
 COMPONENTS = """
@@ -365,23 +452,6 @@ def x1_reverse_complement(g: Graphs) -> DataFrame:
     return g.blocks.select("graph_id", "block_id", F.sha2(sq.reverse_complement(F.col("consensus")), 256).alias("rc"))
 
 
-SEQ = """
-    al AS (SELECT graph_id, block_id, consensus, unnest(map_entries(alignments)) AS e FROM blocks),
-    ed AS (SELECT graph_id, block_id, consensus, e.key AS node_id, coalesce(e.value.subs, []) AS subs, coalesce(e.value.dels, []) AS dels,
-                  coalesce(e.value.inss, []) AS inss FROM al WHERE e.value IS NOT NULL),
-    x0 AS (SELECT graph_id, block_id, node_id, consensus, inss, dels,
-                  list_reduce(list_concat([consensus], list_transform(list_filter(subs, lambda s: s IS NOT NULL), lambda s: s.pos || ':' || s.alt)),
-                    lambda acc, s: acc[:split_part(s, ':', 1)::INT] || split_part(s, ':', 2) || acc[split_part(s, ':', 1)::INT + 2:]) AS c1 FROM ed),
-    x1 AS (SELECT graph_id, block_id, node_id, consensus, inss,
-                  list_reduce(list_concat([c1], list_transform(list_filter(dels, lambda d: d IS NOT NULL), lambda d: d.pos || ':' || d.len)),
-                    lambda acc, d: acc[:split_part(d, ':', 1)::INT] || repeat('-', split_part(d, ':', 2)::INT)
-                                   || acc[split_part(d, ':', 1)::INT + split_part(d, ':', 2)::INT + 1:]) AS c2 FROM x0),
-    x2 AS (SELECT *, replace(list_reduce(list_concat([c2], list_transform(list_reverse_sort(list_transform(list_filter(inss, lambda i: i IS NOT NULL),
-                       lambda i: lpad(i.pos::VARCHAR, 9, '0') || ':' || i.seq)), lambda i: i)),
-                    lambda acc, i: acc[:split_part(i, ':', 1)::INT] || split_part(i, ':', 2) || acc[split_part(i, ':', 1)::INT + 1:]), '-', '') AS raw FROM x1)
-"""
-
-
 @query("q7_block_alignment", "SELECT graph_id, block_id, node_id, sha256(c2) AS seq FROM x2", SEQ)
 def q7_block_alignment(g: Graphs) -> DataFrame:
     return sequences.node_sequences(g, aligned=True).withColumn("seq", F.sha2("seq", 256))
@@ -535,7 +605,34 @@ query(
 )(quality.gaps)
 
 
-@query("g27_report")
+_PROBLEMS = {
+    "substitution out of bounds": "len(list_filter(subs, lambda s: s.pos < 0 OR s.pos >= n)) > 0",
+    "substitution by a gap": "len(list_filter(subs, lambda s: s.alt = '-')) > 0",
+    "two substitutions at one place": "len(list_distinct(list_transform(subs, lambda s: s.pos))) <> len(subs)",
+    "substitution inside a deletion": "len(list_filter(subs, lambda s: len(list_filter(dels, lambda d: s.pos >= d.pos AND s.pos < d.pos + d.len)) > 0)) > 0",
+    "deletion out of bounds": "len(list_filter(dels, lambda d: d.pos < 0 OR d.pos + d.len > n)) > 0",
+    "empty deletion": "len(list_filter(dels, lambda d: d.len <= 0)) > 0",
+    "deletions overlap": "len(list_filter(dels, lambda d: len(list_filter(dels, lambda o: o.pos < d.pos + d.len AND d.pos < o.pos + o.len)) > 1)) > 0",
+    "insertion out of bounds": "len(list_filter(inss, lambda i: i.pos < 0 OR i.pos > n)) > 0",
+}
+
+
+@query(
+    "g27_report",
+    """, ec AS (SELECT graph_id, node_id, length(consensus) AS n, list_filter(subs, lambda s: s IS NOT NULL) AS subs,
+                  list_filter(dels, lambda d: d IS NOT NULL) AS dels, list_filter(inss, lambda i: i IS NOT NULL) AS inss FROM ed),
+    gp AS (SELECT *, coalesce(lead(pos_start) OVER o, CASE WHEN circular THEN first_value(pos_start) OVER o END) AS next_start FROM w WINDOW o AS (PARTITION BY path_id ORDER BY ord))
+    SELECT graph_id, 'path names an unknown node' AS rule, node_id AS subject FROM pn ANTI JOIN nd USING (graph_id, node_id)
+    UNION ALL SELECT graph_id, 'node in no walk', node_id FROM nd ANTI JOIN pn USING (graph_id, node_id)
+    UNION ALL SELECT graph_id, 'node without block', node_id FROM nd WHERE block_id IS NULL
+    UNION ALL SELECT graph_id, 'node of an unknown block', node_id FROM nd ANTI JOIN blocks USING (graph_id, block_id) WHERE block_id IS NOT NULL
+    UNION ALL SELECT graph_id, 'node of an unknown path', node_id FROM nd ANTI JOIN pt USING (graph_id, path_id)
+    UNION ALL SELECT graph_id, 'edit of an unknown node', node_id FROM ec ANTI JOIN nd USING (graph_id, node_id)
+    UNION ALL SELECT graph_id, 'block without nodes', block_id FROM blocks ANTI JOIN nd USING (graph_id, block_id)
+    UNION ALL SELECT graph_id, 'places that don''t meet', node_id FROM gp WHERE next_start <> pos_end
+    """ + " ".join(f"UNION ALL SELECT graph_id, '{name}', node_id FROM ec WHERE {rule}" for name, rule in _PROBLEMS.items()),
+    SEQ,
+)
 def g27_report(g: Graphs) -> DataFrame:
     return quality.report(g)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.junctions import context_links
 from strandloom.operators.stats import block_stats
 from strandloom.operators.walks import filter_walks, graph_links
 from strandloom.tables import Graphs, id_number
@@ -70,15 +71,28 @@ def write_gfa(g: Graphs, path: str, **options) -> None:
 
 
 def minimal_gfa_lines(segs: DataFrame, links: DataFrame, length: Column | None = None) -> DataFrame:
-    """section, value: GFA without sequences of a (segment, len[, depth]) and a (left, right) table (K8).
+    """section, value: GFA without sequences of a (segment, len[, depth]) and a (left, right) table (K8), graph by graph if they have a graph_id.
 
     ``length`` is any expression of ``len``; what it gives is rounded and at least 1.
     """
     size = F.greatest(F.lit(1), F.round(length if length is not None else F.col("len")).cast("bigint"))
     depth = [F.format_string("DP:f:%s", F.col("depth").cast("double").cast("string"))] if "depth" in segs.columns else []
-    s = segs.select(F.lit(1).alias("section"), F.concat_ws("\t", F.lit("S"), "segment", F.lit("*"), F.format_string("LN:i:%d", size), *depth).alias("value"))
+    keep = ["graph_id"] if "graph_id" in segs.columns else []
+    s = segs.select(*keep, F.lit(1).alias("section"), F.concat_ws("\t", F.lit("S"), "segment", F.lit("*"), F.format_string("LN:i:%d", size), *depth).alias("value"))
     sign = lambda c: F.when(c, "+").otherwise("-")
     side = lambda c: [F.col(f"{c}.segment"), sign(F.col(f"{c}.fwd"))]
-    lk = links.select(F.lit(2).alias("section"), F.concat_ws("\t", F.lit("L"), *side("left"), *side("right"), F.lit("0M")).alias("value"))
-    spark = segs.sparkSession
-    return spark.sql("SELECT 0 AS section, 'H\tVN:Z:1.0' AS value").unionByName(s).unionByName(lk)
+    lk = links.select(*keep, F.lit(2).alias("section"), F.concat_ws("\t", F.lit("L"), *side("left"), *side("right"), F.lit("0M")).alias("value"))
+    header = segs.select(*keep).distinct() if keep else segs.sparkSession.range(1)
+    return header.select(*keep, F.lit(0).alias("section"), F.lit("H\tVN:Z:1.0").alias("value")).unionByName(s).unionByName(lk)
+
+
+def context_lines(js: DataFrame, stats: DataFrame, scaffold: DataFrame | None = None) -> DataFrame:
+    """graph_id, section, value: the junction-context graph of every graph as GFA (Q15).
+
+    Segments are the accessory blocks of each junction and the core blocks at their ends, with their
+    lengths and depths; links join what stands next to each other. ``scaffold`` restricts the edges.
+    """
+    segs, links = context_links(js, js if scaffold is None else scaffold, stats)
+    block = F.regexp_replace("segment", "^J[0-9]+_", "")
+    sized = segs.withColumn("block_id", block).join(stats.select("graph_id", "block_id", "len"), ["graph_id", "block_id"])
+    return minimal_gfa_lines(sized.select("graph_id", "segment", "len", "depth"), links)
