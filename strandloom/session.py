@@ -58,6 +58,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The folder of this application's stored tables in the shared folder; it is removed at its end."""
+    folder = f"{shared_dir(spark)}/strandloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -66,11 +75,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ``checkpoint()`` would store plainly.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/strandloom-{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

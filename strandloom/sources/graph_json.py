@@ -32,15 +32,28 @@ def read_graphs(spark: SparkSession, paths: list[str]) -> Graphs:
     for i, p in enumerate(paths):
         part = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(p, multiLine=True).withColumn("graph_id", F.lit(i).cast("bigint"))
         raw = part if raw is None else raw.unionByName(part)
-    text = lambda c: F.col(c).cast("string")
     try:
-        missing = raw.where(F.col("paths").isNull() | F.col("blocks").isNull() | F.col("nodes").isNull()).select("graph_id").head()
         held = {r[0]: r[1] for r in raw.groupBy("graph_id").count().collect()}
     except Exception as e:
         raise GraphLoadError(f"broken JSON: {str(e)[:200]}") from e
     lacking = [p for i, p in enumerate(paths) if held.get(i) != 1]
-    if missing or lacking:
-        raise GraphLoadError(f"no graph: {paths[missing[0]] if missing else lacking[0]}")
+    if lacking:
+        raise GraphLoadError(f"no graph: {lacking[0]}")
+    return _checked(raw, lambda i: paths[i])
+
+
+def parse_graphs(docs: DataFrame) -> Graphs:
+    """Graphs of a table (graph_id, json), one document a row; the same checks as for files."""
+    parsed = docs.select("graph_id", F.from_json("json", SCHEMA, {"mode": "FAILFAST"}).alias("v"))
+    return _checked(parsed.select("graph_id", "v.paths", "v.blocks", "v.nodes"), lambda i: f"graph {i}")
+
+
+def _checked(raw: DataFrame, name) -> Graphs:
+    """The tables of parsed documents; an error where parts are missing or a name is used twice."""
+    text = lambda c: F.col(c).cast("string")
+    missing = raw.where(F.col("paths").isNull() | F.col("blocks").isNull() | F.col("nodes").isNull()).select("graph_id").head()
+    if missing:
+        raise GraphLoadError(f"no graph: {name(missing[0])}")
     p = raw.select("graph_id", F.explode("paths").alias("key", "v")).select(
         text("v.id").alias("path_id"), "graph_id", F.transform("v.nodes", lambda n: n.cast("string")).alias("nodes"), "v.tot_len", "v.circular",
         F.col("v.name").alias("path_name"), F.col("v.desc").alias("descr"), F.lit(None).cast("timestamp_ntz").alias("loaded_at"),
@@ -54,10 +67,10 @@ def read_graphs(spark: SparkSession, paths: list[str]) -> Graphs:
         lacking = df.select("graph_id", F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull()).alias("lacks"))
         bad = lacking.where(F.size("lacks") > 0).head()
         if bad:
-            raise GraphLoadError(f"{paths[bad['graph_id']]}: {', '.join(bad['lacks'])} absent")
+            raise GraphLoadError(f"{name(bad['graph_id'])}: {', '.join(bad['lacks'])} absent")
     twice = p.where(F.col("path_name").isNotNull()).groupBy("graph_id", "path_name").count().where("count > 1").head()
     if twice:
-        raise GraphLoadError(f"{paths[twice['graph_id']]}: two paths have the name {twice['path_name']}")
+        raise GraphLoadError(f"{name(twice['graph_id'])}: two paths have the name {twice['path_name']}")
     return Graphs(n, p, b)
 
 
@@ -82,7 +95,7 @@ def graph_json(g: Graphs) -> DataFrame:
     )
     rows = g.alignments.groupBy("graph_id", "block_id").agg(by_number(F.collect_list(F.struct(number("node_id").alias("n"), "edit"))).alias("l"))
     maps = rows.select("graph_id", "block_id", F.map_from_entries(F.transform("l", lambda e: F.struct(e["n"].cast("string"), e["edit"]))).alias("alignments"))
-    b = entries(g.blocks.select("graph_id", "block_id", "consensus").join(maps, ["graph_id", "block_id"], "left"), "block_id", {"id": number("block_id"), "consensus": F.col("consensus"), "alignments": F.col("alignments")}, "blocks")
+    b = entries(g.blocks.select("graph_id", "block_id", "consensus").join(maps, ["graph_id", "block_id"], "left"), "block_id", {"id": number("block_id"), "consensus": F.col("consensus"), "alignments": F.coalesce("alignments", F.create_map().cast(f"map<string,{EDIT_TYPE}>"))}, "blocks")
     whole = p.join(b, "graph_id", "left").join(n, "graph_id", "left")
     return whole.select("graph_id", F.to_json(F.struct("paths", "blocks", "nodes")).alias("json"))
 
