@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 TILE = 1_000
 
 
-def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int = TILE, apart: bool = False, once: bool = False, least: int = 1) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members that share at least ``least`` buckets.
+def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int = TILE, apart: bool = False, once: bool = False, least: int = 1, counted: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members that share at least ``least`` buckets; if ``counted``, with their number ``shared``.
 
     ``apart`` promises that no member is in two buckets; the pairs are distinct then as they come.
     ``once`` promises that no member is in a bucket twice and that nothing is null.
@@ -38,8 +38,9 @@ def bucket_pairs(members: DataFrame, bucket: list[str], member: str, tile: int =
         (F.col("x") != F.col("y")) & ((F.col("__i") != F.col("__j")) | (F.col("x") < F.col("y")))
     )
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    if least > 1:
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("a", "b")
+    if least > 1 or counted:
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+        return pairs if counted else pairs.select("a", "b")
     return pairs if apart else pairs.distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,14 +56,23 @@ def greedy(matches: DataFrame) -> DataFrame:
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["energy", "q_name", "q_start", "r_name", "r_start"], kind="stable")
-        used: dict[str, list[tuple[int, int]]] = {}
+        used: dict[str, tuple[list[int], list[int]]] = {}  # starts and ends of what is taken of a block, in order
         kept = []
+
+        def free(name: str, s: int, e: int) -> bool:
+            starts, ends = used.get(name, ((), ()))
+            i = bisect_right(starts, s)
+            return (i == 0 or ends[i - 1] <= s) and (i == len(starts) or starts[i] >= e)
+
         for i, m in enumerate(pdf[["q_name", "q_start", "q_end", "r_name", "r_start", "r_end"]].itertuples(index=False)):
             sides = ((m.q_name, m.q_start, m.q_end), (m.r_name, m.r_start, m.r_end))
-            if all(e <= a or s >= b for name, s, e in sides for a, b in used.get(name, ())):
+            if all(free(*side) for side in sides):
                 kept.append(i)
                 for name, s, e in sides:
-                    used.setdefault(name, []).append((s, e))
+                    starts, ends = used.setdefault(name, ([], []))
+                    at = bisect_right(starts, s)
+                    starts.insert(at, s)
+                    ends.insert(at, e)
         return pdf.iloc[kept][columns]
 
     return grouped.groupBy("component").applyInPandas(take, matches.schema)

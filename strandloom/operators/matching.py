@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import COMPLEMENTS, LETTERS
+from strandloom.operators.buckets import bucket_pairs
 from strandloom.operators.align import align, letter_masks
 from strandloom.operators.sketch import minimizers, sketch
 from strandloom.session import ship
@@ -31,11 +32,11 @@ _COMPLEMENT = str.maketrans(LETTERS, COMPLEMENTS)
 
 SCHEMA = (
     "graph_id bigint, q_name string, q_len int, q_start int, q_end int, r_name string, r_len int, r_start int, r_end int, "
-    "matches int, length int, quality int, forward boolean, cigar array<struct<op:string,len:int>>, divergence double"
+    "matches int, length int, forward boolean, cigar array<struct<op:string,len:int>>, divergence double"
 )
 ARROW = pa.schema(
     [("graph_id", pa.int64()), ("q_name", pa.string()), ("q_len", pa.int32()), ("q_start", pa.int32()), ("q_end", pa.int32()), ("r_name", pa.string()),
-     ("r_len", pa.int32()), ("r_start", pa.int32()), ("r_end", pa.int32()), ("matches", pa.int32()), ("length", pa.int32()), ("quality", pa.int32()),
+     ("r_len", pa.int32()), ("r_start", pa.int32()), ("r_end", pa.int32()), ("matches", pa.int32()), ("length", pa.int32()),
      ("forward", pa.bool_()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("divergence", pa.float64())]
 )
 
@@ -183,7 +184,7 @@ def chain_matches(q: str, r: str, mq: np.ndarray, mr: np.ndarray, qa: np.ndarray
             i += n if op in "MI" else 0
             j += n if op in "MD" else 0
         out.append({
-            "q_start": qs, "q_end": qe, "r_start": rs, "r_end": re_, "matches": aligned, "length": sum(n for _, n in ops), "quality": 60,
+            "q_start": qs, "q_end": qe, "r_start": rs, "r_end": re_, "matches": aligned, "length": sum(n for _, n in ops),
             "cigar": [{"op": o, "len": n} for o, n in ops], "divergence": 1 - equal / aligned if aligned else 1.0,
         })
 
@@ -284,9 +285,10 @@ def find_matches(blocks: DataFrame, least: int = 100, preset: str = "10") -> Dat
     ship(blocks.sparkSession)
     k, w, gap = PRESETS[preset]
     named = blocks.select("graph_id", "block_id", "consensus").withColumn("key", F.struct("graph_id", "block_id"))
-    words = sketch(named, "key", "consensus", k, w).select("key.graph_id", "key.block_id", "value").distinct()
-    a, b = words.withColumnRenamed("block_id", "q_name"), words.withColumnRenamed("block_id", "r_name")
-    pairs = a.join(b, ["graph_id", "value"]).where(F.col("q_name") < F.col("r_name")).select("graph_id", "q_name", "r_name").distinct()
+    words = sketch(named, "key", "consensus", k, w).select("key.graph_id", "key", "value").distinct()
+    # a word of very many blocks is met part by part
+    pairs = bucket_pairs(words, ["graph_id", "value"], "key", once=True)
+    pairs = pairs.select("a.graph_id", F.col("a.block_id").alias("q_name"), F.col("b.block_id").alias("r_name"))
     seqs = blocks.select("graph_id", F.col("block_id").alias("q_name"), F.col("consensus").alias("q"))
     refs = blocks.select("graph_id", F.col("block_id").alias("r_name"), F.col("consensus").alias("r"))
     sides = pairs.join(seqs, ["graph_id", "q_name"]).join(refs, ["graph_id", "r_name"]).select("graph_id", "q_name", "r_name", "q", "r")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.seq import integer_hash
+from strandloom.operators.buckets import bucket_pairs
 from strandloom.session import ship
 
 WORD, WINDOW = 15, 100
@@ -123,10 +124,11 @@ def sketch_distances(sketches: DataFrame, key: str, order: str | None = None, gr
     sequence that comes first in ``key`` order, so the measure is no Jaccard.
     """
     by = group or []
-    values = sketches.select(*by, F.col(key).alias("k"), "value").distinct()
+    values = sketches.select(*by, F.col(key).alias("k"), "value").dropna().distinct()
     sizes = values.groupBy(*by, "k").agg(F.count("*").alias("size"))
-    a = values.select(*by, F.col("k").alias("a"), "value")
-    b = values.select(*by, F.col("k").alias("b"), "value")
-    shared = a.join(b, [*by, "value"]).where(F.col("a") < F.col("b")).groupBy(*by, "a", "b").agg(F.count("*").alias("shared"))
+    # a minimizer of very many sequences is met part by part
+    member = values.select(*by, "value", F.struct(*by, "k").alias("m"))
+    pairs = bucket_pairs(member, [*by, "value"], "m", once=True, counted=True)
+    shared = pairs.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.k").alias("a"), F.col("b.k").alias("b"), "shared")
     sized = shared.join(sizes.withColumnRenamed("k", "a"), [*by, "a"])
     return sized.select(*by, "a", "b", "shared", (1 - F.col("shared") / F.col("size")).alias("distance"))

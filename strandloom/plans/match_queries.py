@@ -83,7 +83,17 @@ def k3_block_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("graph_id", "block_id", F.concat(F.lit(">"), "block_id", F.lit("\n"), "consensus").alias("record"))
 
 
-@query("g22_contracted")
+_CHAINS = f"""{BASE}, {STEPS}, {LINKS}, dp AS (SELECT graph_id, block_id, count(*) AS depth FROM w GROUP BY ALL),
+    ud AS (SELECT gl.graph_id, block_1 AS a, block_2 AS b FROM gl JOIN dp d1 ON d1.graph_id = gl.graph_id AND d1.block_id = block_1
+           JOIN dp d2 ON d2.graph_id = gl.graph_id AND d2.block_id = block_2 WHERE block_1 <> block_2 AND count = d1.depth AND count = d2.depth),
+    rch AS (SELECT graph_id, block_id AS v, block_id AS u FROM bl UNION SELECT r.graph_id, r.v, CASE WHEN ud.a = r.u THEN ud.b ELSE ud.a END FROM rch r JOIN ud ON ud.graph_id = r.graph_id AND (ud.a = r.u OR ud.b = r.u)),
+    cm AS (SELECT graph_id, v AS block_id, min(u) AS c FROM rch GROUP BY ALL)"""
+
+
+@query(
+    "g22_contracted",
+    f"""WITH RECURSIVE {_CHAINS} SELECT graph_id, (list(block_id ORDER BY len DESC, block_id::UHUGEINT))[1] AS block_id, sum(len)::INT AS len FROM cm JOIN bl USING (graph_id, block_id) GROUP BY graph_id, c""",
+)
 def g22_contracted(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of all graphs after their transitive edges are contracted."""
     return simplify.contract(Graphs.load(spark, folder)).blocks.select("graph_id", "block_id", F.length("consensus").alias("len"))
@@ -147,7 +157,7 @@ def g1_singletons(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "f8_projected_paths",
-    f"WITH {BASE} SELECT graph_id, path_id, path_name FROM pt WHERE path_name IN (SELECT path_name FROM pt WHERE path_name IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 3)",
+    f"WITH {BASE} SELECT graph_id, path_id, path_name FROM pt WHERE path_name IS NOT NULL",
 )
 def f8_projected_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of all names in the tables: the projection takes a list or a table of names."""
@@ -246,8 +256,10 @@ def a20_sketch_distances(spark: SparkSession, folder: str) -> DataFrame:
 # ---- intervals, cigars, match arithmetic on the star-schema tables
 
 _HITS = """
-    hs AS (SELECT path_id AS block, pos_start AS start, pos_end AS "end" FROM w WHERE ord % 3 = 0 AND pos_end > pos_start AND NOT circular),
-    ln AS (SELECT path_id AS block, tot_len AS len FROM pt WHERE NOT circular)
+    ln AS (SELECT path_id AS block, tot_len AS len, len(nodes) = 1 AS alone FROM pt),
+    hw AS (SELECT path_id AS block, pos_start AS s, pos_end AS e, len, circular AND (pos_end < pos_start OR (pos_end = pos_start AND alone)) AS wraps FROM w JOIN ln ON block = path_id),
+    hs AS (SELECT block, s AS start, CASE WHEN wraps THEN len ELSE e END AS "end" FROM hw WHERE CASE WHEN wraps THEN len ELSE e END > s
+           UNION ALL SELECT block, 0, e FROM hw WHERE wraps AND e > 0)
 """
 _INTERVALS = """
     gp AS (SELECT block, coalesce(lag("end") OVER (PARTITION BY block ORDER BY start), 0) AS s, start AS e, "end" AS he FROM hs),
