@@ -7,11 +7,18 @@ path touches its border.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 # Scores of the alignment and its attempts.
 MATCH, MISMATCH, GAP_OPEN, UNKNOWN = 3, -1, 6, 2
 EXTRA_BAND, ATTEMPTS = 5, 4
+D_OPEN, I_OPEN = 4, 8
+#: Sequences from this length on are aligned between words that stand once in both; the letters of a word.
+LONG, WORD = 2_000, 24
+#: Cells of one matrix; two stretches without common words that need more are one deletion and one insertion.
+CELLS = 1 << 26
 
 # The plain letters that each ambiguity letter stands for.
 AMBIGUITY = {
@@ -65,12 +72,11 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
     low, high = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
     width = int((high - low).max()) + 1
     none = -(1 << 28)
-    # best score of a path into a cell, and of one that ends in a gap in qry (D)
-    best = np.full((n + 1, width), none, dtype=np.int32)
-    back = np.zeros((n + 1, width), dtype=np.int8)  # 1 match, 2 D, 3 I
-    d_open = np.zeros((n + 1, width), dtype=bool)
-    i_open = np.zeros((n + 1, width), dtype=bool)
-    best[0, : high[0] - low[0] + 1] = 0
+    # best score of a path into each cell of the last row, and of one that ends in a gap in qry (D)
+    last = np.full(width, none, dtype=np.int32)
+    # of every cell one byte: the last step (1 match, 2 D, 3 I), and whether a D or an I is opened here
+    back = np.zeros((n + 1, width), dtype=np.uint8)
+    last[: high[0] - low[0] + 1] = 0
     back[0, 1 : high[0] - low[0] + 1] = 3
     gap_d = np.full(width, none, dtype=np.int32)
     for i in range(1, n + 1):
@@ -80,15 +86,15 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
         up, diag = np.full(k, none, np.int32), np.full(k, none, np.int32)
         gap_before = np.full(k, none, np.int32)
         inside = (cols >= pa) & (cols <= pb)
-        up[inside] = best[i - 1, cols[inside] - pa]
+        up[inside] = last[cols[inside] - pa]
         gap_before[inside] = gap_d[cols[inside] - pa]
         behind = (cols - 1 >= pa) & (cols - 1 <= pb)
-        diag[behind] = best[i - 1, cols[behind] - 1 - pa] + score(ref[i - 1], qry[cols[behind] - 1])
+        diag[behind] = last[cols[behind] - 1 - pa] + score(ref[i - 1], qry[cols[behind] - 1])
         price = np.where(cols == m, 0, GAP_OPEN) if m else np.zeros(k, np.int32)  # free behind the query's end
         price = np.where(cols == 0, 0, price)  # and before its start
         opened = up - price
         gap_now = np.maximum(opened, gap_before)
-        d_open[i, :k] = opened >= gap_before
+        flags = (opened >= gap_before).astype(np.uint8) * D_OPEN
         here = np.where(diag >= gap_now, diag, gap_now)
         step = np.where(diag >= gap_now, 1, 2).astype(np.int8)
         # gaps in ref run along the row: extension is free, so the best start is a running maximum
@@ -99,9 +105,11 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
         better = before > here
         here = np.where(better, before, here)
         step[better] = 3
-        best[i, :k], back[i, :k] = here, step
         # a gap is opened where the running maximum took its value
-        i_open[i, 1:k] = start[:-1] >= run[:-1]
+        flags[1:] |= (start[:-1] >= run[:-1]).astype(np.uint8) * I_OPEN
+        back[i, :k] = step.astype(np.uint8) | flags
+        last = np.full(width, none, dtype=np.int32)
+        last[:k] = here
         gap_d = np.full(width, none, dtype=np.int32)
         gap_d[:k] = gap_now
     i, j = n, m
@@ -114,7 +122,7 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
         else:
             ops.append((op, 1))
 
-    total = int(best[n, m - low[n]])
+    total = int(last[m - low[n]])
     while i > 0 or j > 0:
         if i == 0:
             put("I")
@@ -123,20 +131,20 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
         c = j - low[i]
         if (j == low[i] and low[i] > 0) or (j == high[i] and high[i] < m):
             touched = True
-        step = back[i, c]
+        step = back[i, c] & 3
         if step == 1:
             put("M")
             i, j = i - 1, j - 1
         elif step == 2:
             while True:
-                opened = d_open[i, j - low[i]]
+                opened = back[i, j - low[i]] & D_OPEN
                 put("D")
                 i -= 1
                 if opened or i == 0:
                     break
         else:
             while True:
-                opened = i_open[i, j - low[i]]
+                opened = back[i, j - low[i]] & I_OPEN
                 put("I")
                 j -= 1
                 if opened or j == 0:
@@ -161,15 +169,89 @@ def align(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND) -> list[tu
     return ops
 
 
+def _common_words(ref: str, qry: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ref, place in qry) of words that stand once in each, as a longest chain that rises on both."""
+    from strandloom.operators.sketch import word_codes
+
+    (rw, rp), (qw, qp) = word_codes(ref, k), word_codes(qry, k)
+    once = lambda w, p: (u := np.unique(w, return_index=True, return_counts=True), (u[0][u[2] == 1], p[u[1][u[2] == 1]]))[1]
+    (rw, rp), (qw, qp) = once(rw, rp), once(qw, qp)
+    _, i, j = np.intersect1d(rw, qw, assume_unique=True, return_indices=True)
+    order = np.argsort(rp[i])
+    x, y = rp[i][order], qp[j][order]
+    if not len(x) or (np.diff(y) > 0).all():
+        return x, y
+    tails: list[int] = []  # the longest rising chain by patience sorting
+    ends: list[int] = []
+    back = np.full(len(y), -1)
+    for n, v in enumerate(y.tolist()):
+        at = bisect_left(tails, v)
+        back[n] = ends[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(v)
+            ends.append(n)
+        else:
+            tails[at], ends[at] = v, n
+    chain, n = [], ends[-1]
+    while n >= 0:
+        chain.append(n)
+        n = int(back[n])
+    return x[chain[::-1]], y[chain[::-1]]
+
+
+def align_long(ref: str, qry: str, k: int = WORD) -> list[tuple[str, int]]:
+    """Operations of the alignment of long sequences: common words match, what lies between is aligned by itself.
+
+    Time and memory grow with the stretches between words, not with the product of the lengths.
+    """
+    x, y = _common_words(ref, qry, k)
+    ops: list[list] = []
+
+    def put(op: str, n: int) -> None:
+        if n and ops and ops[-1][0] == op:
+            ops[-1][1] += n
+        elif n:
+            ops.append([op, n])
+
+    i = j = 0
+    # words of one diagonal that touch are one stretch
+    if len(x):
+        same = (np.diff(x) == np.diff(y)) & (np.diff(x) <= k)
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        final = np.append(first[1:] - 1, len(x) - 1)
+        stretches = list(zip(x[first].tolist(), y[first].tolist(), (x[final] - x[first] + k).tolist(), strict=True))
+    else:
+        stretches = []
+    for a, b, n in [*stretches, (len(ref), len(qry), 0)]:
+        skip = max(i - a, j - b, 0)  # a stretch may begin inside the last one on another diagonal
+        if n and skip >= n:
+            continue
+        a, b, n = a + skip, b + skip, n - skip
+        r, q = ref[i:a], qry[j:b]
+        if len(r) == len(q) and (len(r) < 4 * k and a < len(ref) and i > 0 or r == q):
+            put("M", len(r))
+        elif min(len(r), len(q)) * max(len(r), 1) <= CELLS:
+            for op, m in align(r, q, 0, max(abs(len(r) - len(q)), EXTRA_BAND)):
+                put(op, m)
+        elif k > 12:  # shorter words may stand in both
+            for op, m in align_long(r, q, k - 6):
+                put(op, m)
+        else:
+            put("D", len(r))
+            put("I", len(q))
+        put("M", n)
+        i, j = a + n, b + n
+    return [(op, n) for op, n in ops]
+
+
 def edit_of(ref: str, qry: str, ops: list[tuple[str, int]]) -> dict[str, list]:
     """The Edit that makes ``qry`` of ``ref``: insertions stand before the place that follows them."""
     i = j = 0
     subs, dels, inss = [], [], []
     for op, n in ops:
         if op == "M":
-            for x in range(n):
-                if ref[i + x] != qry[j + x]:
-                    subs.append({"pos": i + x, "alt": qry[j + x]})
+            a, b = np.frombuffer(ref[i : i + n].encode("ascii"), dtype=np.uint8), np.frombuffer(qry[j : j + n].encode("ascii"), dtype=np.uint8)
+            subs += [{"pos": i + x, "alt": qry[j + x]} for x in np.flatnonzero(a != b).tolist()]
             i, j = i + n, j + n
         elif op == "D":
             dels.append({"pos": i, "len": n})
@@ -184,6 +266,8 @@ def realign(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND) -> dict[
     """The Edit of ``qry`` against ``ref`` by banded alignment; an empty sequence is one deletion."""
     if not qry:
         return {"subs": [], "dels": [{"pos": 0, "len": len(ref)}] if ref else [], "inss": []}
+    if min(len(ref), len(qry)) >= LONG:
+        return edit_of(ref, qry, align_long(ref, qry))
     return edit_of(ref, qry, align(ref, qry, shift, band + EXTRA_BAND))
 
 

@@ -42,7 +42,7 @@ def majority_insertions(g: Graphs) -> DataFrame:
 
 
 def new_consensus(g: Graphs) -> DataFrame:
-    """graph, block, kind, old, consensus of the blocks whose consensus the majority changes.
+    """graph, block, kind, old, consensus, subs of the blocks whose consensus the majority changes.
 
     ``kind`` is ``indel`` (all nodes must be aligned anew), or ``substitution`` (edits can be mended).
     """
@@ -62,4 +62,5 @@ def new_consensus(g: Graphs) -> DataFrame:
         F.when(F.col("indel"), "indel").otherwise("substitution").alias("kind"),
         F.col("consensus").alias("old"),
         apply_edit(F.col("consensus"), clean).alias("consensus"),
+        clean["subs"].alias("subs"),
     )

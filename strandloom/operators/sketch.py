@@ -60,6 +60,20 @@ def word_hashes(seq: str, k: int = WORD) -> tuple[np.ndarray, np.ndarray, np.nda
     return invertible_hash(word[at], (1 << (2 * k)) - 1), at + k - 1, forward[at]
 
 
+def word_codes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, place of the first letter) of every window of k plain letters as written, k at most 32."""
+    code = _CODE[np.frombuffer(seq.encode("utf-8", "replace"), dtype=np.uint8)]
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        out = (out << np.uint64(2)) | (code[i : i + n] & 3).astype(np.uint64)
+    bad = np.concatenate(([0], np.cumsum(code > 3)))
+    at = np.flatnonzero(bad[k:] == bad[:-k])
+    return out[at], at
+
+
 def minimizers(seq: str | None, k: int = WORD, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, forward) of the least words of all stretches of w consecutive words; ties are all kept.
 

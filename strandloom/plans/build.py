@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from strandloom.functions.edits import apply_edit, is_empty, is_unaligned, new_position, node_interval, slice_edit
+from strandloom.functions.edits import apply_edit, is_empty, is_unaligned, new_position, node_interval, reconcile_substitution, slice_edit
 from strandloom.functions.seq import content_id, reverse_complement
 from strandloom.operators import tree as tr
-from strandloom.operators.align import apply, realign
+from strandloom.operators.align import apply, mean_shift, realign
 from strandloom.operators.consensus import new_consensus
 from strandloom.operators.matches import anchors, block_intervals, candidates, greedy, hits_of_blocks, refine_intervals, split_matches
 from strandloom.operators.matching import find_matches
@@ -87,7 +87,10 @@ def accepted_matches(g: Graphs, o: Options) -> DataFrame:
 
 
 def _realigned(rows: DataFrame) -> DataFrame:
-    """(graph, block, node, consensus, seq, band) -> (graph, block, node, edit) by banded alignment."""
+    """(graph, block, node, consensus, seq, band, expected) -> (graph, block, node, edit) by banded alignment.
+
+    The band lies where the indels of the expected edit put it (X12); without one it is ``band`` wide on both sides.
+    """
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +102,17 @@ def _realigned(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                edit = realign(r["consensus"], r["seq"], 0, max(r["band"], abs(len(r["consensus"]) - len(r["seq"]))))
+                n, shift, band = len(r["consensus"]), 0, max(r["band"], abs(len(r["consensus"]) - len(r["seq"])))
+                if r["expected"]:
+                    shift, band = mean_shift(n, [(d["pos"], d["len"]) for d in r["expected"]["dels"]], [(i["pos"], i["seq"]) for i in r["expected"]["inss"]])
+                edit = realign(r["consensus"], r["seq"], shift, band)
                 if apply(r["consensus"], edit) != r["seq"]:
                     raise AssertionError(f"alignment of node {r['node_id']} doesn't give its sequence")
                 out.append({"graph_id": r["graph_id"], "block_id": r["block_id"], "node_id": r["node_id"], "edit": edit})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.select("graph_id", "block_id", "node_id", "consensus", "seq", "band").mapInArrow(run, f"graph_id bigint, block_id string, node_id string, edit {EDIT_TYPE}")
+    expected = F.col("expected") if "expected" in rows.columns else F.lit(None).cast(EDIT_TYPE)
+    return rows.select("graph_id", "block_id", "node_id", "consensus", "seq", "band", expected.alias("expected")).mapInArrow(run, f"graph_id bigint, block_id string, node_id string, edit {EDIT_TYPE}")
 
 
 def reweave(g: Graphs, matches: DataFrame, o: Options) -> Graphs:
@@ -200,12 +207,19 @@ def reconsensus(g: Graphs) -> Graphs:
     fresh = cut_lineage(new_consensus(g).where(F.length("consensus") > 0))
     if fresh.isEmpty():
         return g
-    seqs = g.alignments.select("graph_id", "block_id", "node_id", apply_edit(F.col("consensus"), F.col("edit")).alias("seq"), F.aggregate("edit.dels", F.lit(0), lambda a, d: a + d["len"]).alias("band"))
-    solved = _realigned(seqs.join(fresh.select("graph_id", "block_id", "consensus"), ["graph_id", "block_id"]))
     key = ["graph_id", "block_id"]
-    kept = g.alignments.join(fresh.select(*key), key, "left_anti").select("graph_id", "block_id", "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))
+    typed = lambda df: df.select(*key, "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))
+    # only substitutions: edits are mended one by one; indels move letters, so nodes are aligned anew
+    mend = g.alignments.join(fresh.where("kind = 'substitution'").select(*key, "subs"), key)
+    old = lambda s: F.substr("consensus", s["pos"] + 1, F.lit(1))
+    mended = mend.withColumn("edit", F.aggregate("subs", F.col("edit").cast(EDIT_TYPE), lambda e, s: reconcile_substitution(e, s["pos"], old(s), s["alt"]).cast(EDIT_TYPE)))
+    seqs = g.alignments.select(
+        *key, "node_id", apply_edit(F.col("consensus"), F.col("edit")).alias("seq"), F.aggregate("edit.dels", F.lit(0), lambda a, d: a + d["len"]).alias("band"), F.col("edit").cast(EDIT_TYPE).alias("expected")
+    )
+    solved = _realigned(seqs.join(fresh.where("kind = 'indel'").select(*key, "consensus"), key))
+    kept = g.alignments.join(fresh.select(*key), key, "left_anti")
     blocks = g.blocks.select(*key, "consensus").join(fresh.select(*key), key, "left_anti").unionByName(fresh.select(*key, "consensus"))
-    return bundle(g.nodes, g.paths, blocks, kept.unionByName(solved.select("graph_id", "block_id", "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))))
+    return bundle(g.nodes, g.paths, blocks, typed(kept).unionByName(typed(mended)).unionByName(typed(solved)))
 
 
 def self_merge(g: Graphs, o: Options) -> Graphs:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandloom.operators import matching
+from strandloom.operators import align, matching
 
 GAP = 300
 
@@ -79,3 +79,50 @@ def test_a_match_is_not_repeated_by_what_it_left_over():
     q = _dna(rng, 3000)
     r = "".join(rng.choice("ACGT") if rng.random() < 0.06 else c for c in q)
     assert len(matching.pair_matches(q, r[:1000] + r[1010:2000] + "ACG" + r[2000:], *matching.PRESETS["10"], 100)) == 1
+
+
+def _changed(rng, seq, every):
+    """Substitutions, short indels, one long deletion and one long insertion."""
+    out = []
+    for c in seq:
+        x = rng.randrange(every)
+        out.append(rng.choice("ACGT") if x == 0 else "" if x == 1 else c + rng.choice("ACGT") if x == 2 else c)
+    s = "".join(out)
+    return s[: len(s) // 4] + s[len(s) // 4 + 900 : len(s) // 2] + _dna(rng, 700) + s[len(s) // 2 :]
+
+
+@pytest.mark.parametrize("every", [30, 200])
+def test_long_sequences_are_aligned_between_common_words(every):
+    rng = random.Random(every)
+    ref = _dna(rng, 30_000)
+    qry = _changed(rng, ref, every)
+    edit = align.realign(ref, qry)
+    assert align.apply(ref, edit) == qry
+    # about as many edits as were made
+    assert len(edit["subs"]) + len(edit["dels"]) + len(edit["inss"]) < 1.3 * 3 * len(ref) / every + 40
+    assert sum(len(i["seq"]) for i in edit["inss"]) < 700 + 3 * len(ref) / every
+    for a, b in ((ref, ref), (ref, ref[::-1]), ("A" * 5000, "A" * 4000), (ref[:9000] + ref[:9000], ref[:9000])):
+        assert align.apply(a, align.realign(a, b)) == b
+
+
+def test_stretches_beyond_the_matrix_are_one_deletion_and_one_insertion(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(align, "CELLS", 10_000)
+    a, b = _dna(rng, 3000), _dna(rng, 2500)
+    assert align.apply(a, align.realign(a, b)) == b
+
+
+def test_substitutions_of_the_majority_mend_edits(make_graph):
+    """Two of three nodes have T at 1: the consensus takes it, the third gets the old letter; the genomes stay."""
+    from strandloom.operators.sequences import node_sequences
+    from strandloom.plans.build import reconsensus
+
+    sub = lambda *s: {"subs": [{"pos": p, "alt": a} for p, a in s], "dels": [], "inss": []}
+    gap = {"subs": [], "dels": [{"pos": 0, "len": 3}], "inss": []}
+    g = make_graph({"a": "1+", "b": "1+", "c": "1+", "d": "1+"}, {"1": "ACGT"}, edits={1: sub((1, "T"), (3, "A")), 2: sub((1, "T")), 3: sub((1, "T")), 4: gap}, circular=False)
+    before = {r["node_id"]: r["seq"] for r in node_sequences(g).collect()}
+    h = reconsensus(g)
+    assert h.blocks.head()["consensus"] == "ATGT"
+    assert {r["node_id"]: r["seq"] for r in node_sequences(h).collect()} == before
+    edits = {r["node_id"]: r["edit"] for r in h.alignments.collect()}
+    assert [tuple(s) for s in edits["1"]["subs"]] == [(3, "A")] and not edits["2"]["subs"] and [tuple(d) for d in edits["4"]["dels"]] == [(0, 3)]
