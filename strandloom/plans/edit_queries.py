@@ -260,3 +260,24 @@ def g24_contracted_walks(spark: SparkSession, folder: str) -> DataFrame:
     first = g.walks.join(g.alignments.select("node_id"), "node_id", "left_semi").groupBy("path_id", "circular").agg(F.min(F.struct("ord", "pos_start"))["pos_start"].alias("off"))
     back = reconstruct(simplify.contract(paths_alone(g))).join(first, "path_id").where(F.length("seq") > 0)
     return back.select("path_id", F.when(~F.col("circular") & (F.col("off") == 0), F.sha2("seq", 256)).alias("seq"), F.length("seq").alias("n"))
+
+
+# ---- the merge passes of a build, on the graphs of the tables
+
+
+@query("g20_merged_genomes", ORACLE["g24_contracted_walks"])
+def g20_merged_genomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Genomes read back after all graphs went through merge passes until no match was left: found, taken, sliced, realigned, contracted.
+
+    Of paths that may begin elsewhere afterwards only the length is given, as for contraction.
+    """
+    from strandloom.operators.sequences import reconstruct
+    from strandloom.plans.build import Options, self_merge
+
+    g = Graphs.load(spark, folder).stored()
+    first = g.walks.join(g.alignments.select("node_id"), "node_id", "left_semi").groupBy("path_id", "circular").agg(F.min(F.struct("ord", "pos_start"))["pos_start"].alias("off"))
+    clean = simplify.bundle(
+        g.nodes.where("block_id is not null"), g.paths, g.blocks, g.alignments.select("graph_id", "block_id", "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))
+    )
+    back = reconstruct(self_merge(clean, Options(length=50, alpha=10.0))).join(first, "path_id").where(F.length("seq") > 0)
+    return back.select("path_id", F.when(~F.col("circular") & (F.col("off") == 0), F.sha2("seq", 256)).alias("seq"), F.length("seq").alias("n"))
