@@ -291,6 +291,8 @@ def together(
         .groupBy("group")
         .agg(F.countDistinct("basket").alias("n"))
     )
+    if surprise:
+        rows = cut_lineage(rows)  # pairs and both kinds of degrees are counted from them
     pairs = pair_counts(rows, sizes, least, lift, tile, share)
     if surprise:
         pairs = _with_surprise(cut_lineage(pairs), rows, sizes)
@@ -310,6 +312,7 @@ def _with_surprise(pairs: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataF
         "group", "items", F.when(F.col("n") > F.col("n_baskets"), F.concat("baskets", F.array(empty))).otherwise(F.col("baskets")).alias("baskets"),
         (F.col("n_items") * (F.col("n_items") - 1) / 2).alias("tests"),
     )
+    model = cut_lineage(model)
     fitted = cut_lineage(
         model.drop("tests").join(pairs.select("group").distinct(), "group", "left_semi").select("group", "items", "baskets")
         # few rows, much work on each: a fixed number of partitions, which isn't coalesced by size
@@ -321,8 +324,9 @@ def _with_surprise(pairs: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataF
     chunks = classes.groupBy("group").agg(F.ceil(F.count("*") / F.lit(CLASSES)).cast("int").alias("chunks"))
     spread = classes.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), "chunks").cast("int")).drop("chunks")
     copies = fitted.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    part = lambda df: df.repartition(TASKS, "group", "chunk").groupBy("group", "chunk")
     tails = cut_lineage(
-        spread.groupBy("group", "chunk").cogroup(copies.groupBy("group", "chunk"))
+        part(spread).cogroup(part(copies))
         .applyInPandas(_tails, "group string, n_a bigint, n_b bigint, n_ab bigint, pairs bigint, expected double, p_value double, residual double")
     )
     ranked = tails.join(model.select("group", "tests"), "group")
