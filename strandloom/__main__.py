@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import sequences, simplify
+from strandloom.operators import junctions, sequences, simplify, stats
 from strandloom.plans import build
+from strandloom.session import application_folder, part_files
 from strandloom.sources import fasta, gfa, graph_json
 
 
@@ -25,13 +27,41 @@ def _session(threads: str | None) -> SparkSession:
 
 
 def _emit(lines: DataFrame, order: list[str], out: str) -> None:
-    """Ordered text to one file, or to the standard output; rows are streamed to the driver."""
-    rows = lines.orderBy(*order).select("value").toLocalIterator()
-    if out in ("", "-"):
-        for r in rows:
+    """Ordered text: a path that ends with a slash is a folder that the executors write, part files following each
+    other in order; else rows are streamed through the driver to one file or to the standard output."""
+    ordered = lines.orderBy(*order).select("value")
+    if out.endswith("/"):
+        ordered.write.mode("overwrite").text(out)
+    elif out in ("", "-"):
+        for r in ordered.toLocalIterator():
             print(r["value"])
     else:
-        fasta.write_file(out, "".join(f"{r['value']}\n" for r in rows))
+        with fasta.open_out(out) as f:
+            for r in ordered.toLocalIterator():
+                f.write(f"{r['value']}\n")
+
+
+def _inputs(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files to read; ``-`` is the standard input, which is stored in the shared folder first."""
+    if "-" not in paths:
+        return paths
+    place = f"{application_folder(spark)}/stdin-{uuid.uuid4().hex}"
+    spark.createDataFrame([(sys.stdin.read().removesuffix("\n"),)], "value string").coalesce(1).write.text(place)
+    return [f for p in paths for f in (part_files(spark, place) if p == "-" else [p])]
+
+
+def _name_blocks(spark: SparkSession, folder: str) -> None:
+    """Gives the text of each block the name ``block_{id}.fa`` and removes the folders that held it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for held in fs.listStatus(path(folder)):
+        name = held.getPath().getName()
+        if name.startswith("block_id="):
+            for f in fs.listStatus(held.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), path(f"{folder}/block_{name.removeprefix('block_id=')}.fa"))
+            fs.delete(held.getPath(), True)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,10 +77,14 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("-s", "--sensitivity", choices=["5", "10", "20"], default="10")
     b.add_argument("-c", "--circular", action="store_true")
     b.add_argument("-x", "--max-self-map", type=int, default=100)
+    b.add_argument("-K", "--kmer-length", type=int, help="letters of a word, instead of the preset's")
+    b.add_argument("-k", "--alignment-kernel", choices=["native"], default="native", help="there is one: seeds, chains and banded alignment")
+    b.add_argument("--extra-band-width", type=int, default=build.EXTRA_BAND)
+    b.add_argument("--max-alignment-attempts", type=int, default=build.ATTEMPTS)
     b.add_argument("--guide-tree")
     b.add_argument("--verify", action="store_true")
     e = sub.add_parser("export")
-    e.add_argument("what", choices=["gfa", "block-consensus", "block-sequences", "core-genome"])
+    e.add_argument("what", choices=["gfa", "block-consensus", "block-sequences", "core-genome", "junction-context"])
     e.add_argument("input")
     e.add_argument("-o", "--output", default="-")
     e.add_argument("--minimum-length", type=int, default=0)
@@ -76,14 +110,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "schema":
-        print(graph_json.SCHEMA.strip())
+        print(graph_json.json_schema())
         return 0
     spark = _session(a.jobs)
     graph = lambda g: graph_json.graph_json(g).select("graph_id", F.col("json").alias("value"))
     if a.command == "build":
         tree = open(a.guide_tree).read() if a.guide_tree else None
-        o = build.Options(a.len, a.alpha, a.beta, a.sensitivity, a.circular, a.max_self_map, tree, a.verify)
-        _emit(graph(build.build(fasta.read_fasta(spark, a.inputs), o)), ["graph_id"], a.output)
+        o = build.Options(a.len, a.alpha, a.beta, a.sensitivity, a.circular, a.max_self_map, tree, a.verify, a.kmer_length, a.extra_band_width, a.max_alignment_attempts)
+        _emit(graph(build.build(fasta.read_fasta(spark, _inputs(spark, a.inputs)), o)), ["graph_id"], a.output)
         return 0
     g = graph_json.read_graphs(spark, [a.input])
     if a.command == "simplify":
@@ -110,6 +144,14 @@ def main(argv: list[str] | None = None) -> int:
         rows = sequences.block_sequences(g, aligned=not a.unaligned)
         text = rows.select("block_id", F.concat(F.lit(">"), "name", F.lit(" "), "description", F.lit("\n"), "seq").alias("value"))
         text.repartition("block_id").write.mode("overwrite").partitionBy("block_id").text(a.output)
+        _name_blocks(spark, a.output)
+    elif a.what == "junction-context":
+        g = g.stored()
+        core = junctions.backbone(g, a.minimum_length or junctions.CORE_LENGTH)
+        for r in junctions.refused_graphs(g.walks, core).collect():
+            raise SystemExit(f"a path of graph {r['graph_id']} has {r['fewest']} backbone blocks, two are needed")
+        lines = gfa.context_lines(junctions.junctions(g.walks, core), stats.block_stats(g))
+        _emit(lines, ["graph_id", "section", "value"], a.output)
     else:
         guide = None
         if a.guide_strain:

@@ -152,7 +152,7 @@ def _banded(ref: np.ndarray, qry: np.ndarray, shift: int, band: int) -> tuple[li
     return ops[::-1], touched, total
 
 
-def align(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND) -> list[tuple[str, int]]:
+def align(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND, attempts: int = ATTEMPTS) -> list[tuple[str, int]]:
     """Operations of the alignment of ``qry`` to ``ref``; the band grows while the path touches it."""
     if not ref or not qry:
         return [("D", len(ref))] * bool(ref) + [("I", len(qry))] * bool(qry)
@@ -160,11 +160,11 @@ def align(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND) -> list[tu
     if len(ref) == len(qry) and ref == qry:
         return [("M", len(ref))]
     band = max(band, 1)
-    for attempt in range(ATTEMPTS):
+    for attempt in range(attempts):
         ops, touched, _ = _banded(r, q, shift, band)
         if not touched:
             break
-        if attempt < ATTEMPTS - 1:
+        if attempt < attempts - 1:
             band = max(2 * band, 1, abs(shift))
     return ops
 
@@ -262,13 +262,13 @@ def edit_of(ref: str, qry: str, ops: list[tuple[str, int]]) -> dict[str, list]:
     return {"subs": subs, "dels": dels, "inss": inss}
 
 
-def realign(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND) -> dict[str, list]:
+def realign(ref: str, qry: str, shift: int = 0, band: int = EXTRA_BAND, extra: int = EXTRA_BAND, attempts: int = ATTEMPTS) -> dict[str, list]:
     """The Edit of ``qry`` against ``ref`` by banded alignment; an empty sequence is one deletion."""
     if not qry:
         return {"subs": [], "dels": [{"pos": 0, "len": len(ref)}] if ref else [], "inss": []}
     if min(len(ref), len(qry)) >= LONG:
         return edit_of(ref, qry, align_long(ref, qry))
-    return edit_of(ref, qry, align(ref, qry, shift, band + EXTRA_BAND))
+    return edit_of(ref, qry, align(ref, qry, shift, band + extra, attempts))
 
 
 def apply(ref: str, edit: dict[str, list]) -> str:

@@ -277,13 +277,16 @@ def pair_matches(q: str, r: str, k: int, w: int, gap: int, least: int) -> list[d
     return out
 
 
-def find_matches(blocks: DataFrame, least: int = 100, preset: str = "10") -> DataFrame:
+def find_matches(blocks: DataFrame, least: int = 100, preset: str = "10", word: int | None = None) -> DataFrame:
     """Matches between different blocks of each graph; of a pair the greater id is the reference.
 
+    ``word`` takes the place of the preset's word length.
+
     Cigars of reverse matches run along the reference. Names are block ids.
     """
     ship(blocks.sparkSession)
     k, w, gap = PRESETS[preset]
+    k = word or k
     named = blocks.select("graph_id", "block_id", "consensus").withColumn("key", F.struct("graph_id", "block_id"))
     words = sketch(named, "key", "consensus", k, w).select("key.graph_id", "key", "value").distinct()
     # a word of very many blocks is met part by part

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.edits import apply_edit, is_empty, is_unaligned, new_position, node_interval, reconcile_substitution, slice_edit
 from strandloom.functions.seq import content_id, reverse_complement
 from strandloom.operators import tree as tr
-from strandloom.operators.align import apply, mean_shift, realign
+from strandloom.operators.align import ATTEMPTS, EXTRA_BAND, apply, mean_shift, realign
 from strandloom.operators.consensus import new_consensus
 from strandloom.operators.matches import anchors, block_intervals, candidates, greedy, hits_of_blocks, refine_intervals, split_matches
 from strandloom.operators.matching import find_matches
@@ -36,6 +36,9 @@ class Options:
     max_self_map: int = 100
     guide_tree: str | None = None
     verify: bool = False
+    word: int | None = None
+    extra_band: int = EXTRA_BAND
+    attempts: int = ATTEMPTS
 
 
 def singletons(records: DataFrame, circular: bool) -> Graphs:
@@ -52,9 +55,15 @@ def singletons(records: DataFrame, circular: bool) -> Graphs:
     return bundle(nodes, paths, blocks, edits)
 
 
+#: Genomes up to which the guide tree is computed; its matrix has the square of their number, and it is joined in cubic time.
+MOST_GENOMES = 3_000
+
+
 def guide_tree(records: DataFrame, k: int = 15, w: int = 100) -> tr.Clade:
-    """The neighbor-joining tree of sketch distances; leaves are record indexes."""
-    names = [r[0] for r in records.select("rec_index").orderBy("rec_index").collect()]
+    """The neighbor-joining tree of sketch distances; leaves are record indexes. More genomes need a given tree."""
+    names = [r[0] for r in records.select("rec_index").orderBy("rec_index").limit(MOST_GENOMES + 1).collect()]
+    if len(names) > MOST_GENOMES:
+        raise ValueError(f"more than {MOST_GENOMES} genomes: give a guide tree")
     pairs = sketch_distances(sketch(records, "rec_index", "seq", k, w), "rec_index")
     return tr.neighbor_joining(tr.distance_matrix(pairs, names), [str(n) for n in names])
 
@@ -78,7 +87,7 @@ def assert_disjoint(g: Graphs) -> None:
 
 def accepted_matches(g: Graphs, o: Options) -> DataFrame:
     """Matches that a pass merges: found, divided at long indels, of negative energy, not overlapping."""
-    found = find_matches(g.blocks, o.length, o.sensitivity)
+    found = find_matches(g.blocks, o.length, o.sensitivity, o.word)
     parts = split_matches(found, o.length)
     good = candidates(parts, o.alpha, o.beta)
     # names must tell blocks of different graphs apart
@@ -86,7 +95,7 @@ def accepted_matches(g: Graphs, o: Options) -> DataFrame:
     return cut_lineage(greedy(cut_lineage(named)))
 
 
-def _realigned(rows: DataFrame) -> DataFrame:
+def _realigned(rows: DataFrame, o: Options) -> DataFrame:
     """(graph, block, node, consensus, seq, band, expected) -> (graph, block, node, edit) by banded alignment.
 
     The band lies where the indels of the expected edit put it (X12); without one it is ``band`` wide on both sides.
@@ -105,7 +114,7 @@ def _realigned(rows: DataFrame) -> DataFrame:
                 n, shift, band = len(r["consensus"]), 0, max(r["band"], abs(len(r["consensus"]) - len(r["seq"])))
                 if r["expected"]:
                     shift, band = mean_shift(n, [(d["pos"], d["len"]) for d in r["expected"]["dels"]], [(i["pos"], i["seq"]) for i in r["expected"]["inss"]])
-                edit = realign(r["consensus"], r["seq"], shift, band)
+                edit = realign(r["consensus"], r["seq"], shift, band, o.extra_band, o.attempts)
                 if apply(r["consensus"], edit) != r["seq"]:
                     raise AssertionError(f"alignment of node {r['node_id']} doesn't give its sequence")
                 out.append({"graph_id": r["graph_id"], "block_id": r["block_id"], "node_id": r["node_id"], "edit": edit})
@@ -164,7 +173,7 @@ def reweave(g: Graphs, matches: DataFrame, o: Options) -> Graphs:
     stay = s.where("is_anchor").select("graph_id", F.col("new_block").alias("block_id"), F.col("new_node").alias("node_id"), F.col("part").alias("edit"))
     own = apply_edit(F.col("cons"), F.col("part"))
     todo = s.where("not is_anchor").select("graph_id", F.col("new_block").alias("block_id"), F.col("new_node").alias("node_id"), F.when(F.col("keeps"), own).otherwise(reverse_complement(own)).alias("seq"), "band")
-    solved = _realigned(todo.join(blocks_all, ["graph_id", "block_id"]))
+    solved = _realigned(todo.join(blocks_all, ["graph_id", "block_id"]), o)
     cast = lambda df: df.select("graph_id", "block_id", "node_id", F.col("edit").cast(EDIT_TYPE).alias("edit"))
     old = g.alignments.join(touched, ["graph_id", "block_id"], "left_anti")
     edits = cast(old).unionByName(cast(stay)).unionByName(cast(solved))
@@ -202,7 +211,7 @@ def detach_unaligned(g: Graphs) -> Graphs:
     return bundle(moved, g.paths, blocks, edits)
 
 
-def reconsensus(g: Graphs) -> Graphs:
+def reconsensus(g: Graphs, o: Options | None = None) -> Graphs:
     """Blocks whose majority differs from their consensus get a new one, and their nodes new edits."""
     fresh = cut_lineage(new_consensus(g).where(F.length("consensus") > 0))
     if fresh.isEmpty():
@@ -216,7 +225,7 @@ def reconsensus(g: Graphs) -> Graphs:
     seqs = g.alignments.select(
         *key, "node_id", apply_edit(F.col("consensus"), F.col("edit")).alias("seq"), F.aggregate("edit.dels", F.lit(0), lambda a, d: a + d["len"]).alias("band"), F.col("edit").cast(EDIT_TYPE).alias("expected")
     )
-    solved = _realigned(seqs.join(fresh.where("kind = 'indel'").select(*key, "consensus"), key))
+    solved = _realigned(seqs.join(fresh.where("kind = 'indel'").select(*key, "consensus"), key), o or Options())
     kept = g.alignments.join(fresh.select(*key), key, "left_anti")
     blocks = g.blocks.select(*key, "consensus").join(fresh.select(*key), key, "left_anti").unionByName(fresh.select(*key, "consensus"))
     return bundle(g.nodes, g.paths, blocks, typed(kept).unionByName(typed(mended)).unionByName(typed(solved)))
@@ -228,7 +237,7 @@ def self_merge(g: Graphs, o: Options) -> Graphs:
         matches = accepted_matches(g, o)
         if matches.isEmpty():
             break
-        g = contract(reconsensus(detach_unaligned(reweave(g, matches, o))))
+        g = contract(reconsensus(detach_unaligned(reweave(g, matches, o)), o))
     return g
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators import tree as tr
 from strandloom.plans.graph_queries import BASE, LINKS, STEPS
-from strandloom.session import application_folder, read_table
+from strandloom.session import application_folder, part_files, read_table
 from strandloom.sources import fasta, gfa, graph_json, tabular
 from strandloom.tables import Graphs
 
@@ -31,14 +31,6 @@ def _place(spark: SparkSession) -> str:
     return f"{application_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _files(spark: SparkSession, folder: str) -> list[str]:
-    """Part files of a folder in their order."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
-
-
 @query(
     "s1_fasta_read",
     """WITH r AS (SELECT rec_index, arg_max({'s': coalesce(seq, ''), 'n': coalesce(seq_name, '')}, loaded_at) AS v FROM fasta_records WHERE rec_index IS NOT NULL GROUP BY rec_index)
@@ -52,7 +44,7 @@ def s1_fasta_read(spark: SparkSession, folder: str) -> DataFrame:
     place = _place(spark)
     out = rows.select("rec_index", F.concat(F.lit("r"), "rec_index").alias("seq_name"), F.col("v.n").alias("descr"), F.col("v.seq").alias("seq"))
     fasta.write_fasta(out, place, order=["rec_index"], compression="gzip")
-    back = fasta.read_fasta(spark, _files(spark, place), gaps=True)
+    back = fasta.read_fasta(spark, part_files(spark, place), gaps=True)
     return back.select("rec_index", "seq_name", "descr", F.sha2("seq", 256).alias("seq"))
 
 

@@ -67,6 +67,13 @@ def application_folder(spark: SparkSession) -> str:
     return folder
 
 
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    """Part files of a folder in their order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -110,20 +110,24 @@ def write_fasta(records: DataFrame, path: str, order: Sequence[str] = (), compre
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def write_file(path: str, text: str) -> None:
-    """One text file on the driver, packed by its extension; levels come from GZ_, BZ2_ and XZ_COMPRESSION."""
+def open_out(path: str):
+    """A text file on the driver, packed by its extension; levels come from GZ_, BZ2_, XZ_ and ZST_COMPRESSION."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     level = lambda kind: int(os.environ.get(f"{kind}_COMPRESSION", "2"))
-    data = text.encode()
     if path.endswith(".gz"):
-        data = gzip.compress(data, level("GZ"))
-    elif path.endswith(".bz2"):
-        data = bz2.compress(data, max(1, level("BZ2")))
-    elif path.endswith(".xz"):
-        data = lzma.compress(data, preset=level("XZ"))
-    elif path.endswith(".zst"):
+        return gzip.open(path, "wt", compresslevel=level("GZ"))
+    if path.endswith(".bz2"):
+        return bz2.open(path, "wt", compresslevel=max(1, level("BZ2")))
+    if path.endswith(".xz"):
+        return lzma.open(path, "wt", preset=level("XZ"))
+    if path.endswith(".zst"):
         import zstandard
 
-        data = zstandard.ZstdCompressor(level=level("ZST")).compress(data)
-    with open(path, "wb") as f:
-        f.write(data)
+        return zstandard.open(path, "wt", cctx=zstandard.ZstdCompressor(level=level("ZST")))
+    return open(path, "w")
+
+
+def write_file(path: str, text: str) -> None:
+    """One text file on the driver."""
+    with open_out(path) as f:
+        f.write(text)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from strandloom.tables import EDIT_TYPE, Graphs, id_number
 
@@ -104,3 +107,21 @@ def write_graphs(g: Graphs, path: str, compression: str | None = None) -> None:
     """A folder of JSON text, a document per line and graph."""
     writer = graph_json(g).select(F.col("json").alias("value")).write.mode("overwrite")
     (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def json_schema() -> str:
+    """The schema of graph documents as JSON Schema."""
+    plain = {"string": {"type": "string"}, "boolean": {"type": "boolean"}}
+
+    def of(t) -> dict:
+        if isinstance(t, StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in t.fields}, "required": [f.name for f in t.fields if f.name not in ("name", "desc")]}
+        if isinstance(t, ArrayType):
+            return {"type": "array", "items": of(t.elementType)}
+        if isinstance(t, MapType):
+            return {"type": "object", "additionalProperties": of(t.valueType)}
+        return plain.get(t.simpleString(), {"type": "integer", "minimum": 0})
+
+    whole = {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "graph", **of(StructType.fromDDL(SCHEMA))}
+    whole["properties"]["paths"]["additionalProperties"]["properties"] |= {n: {"type": ["string", "null"]} for n in ("name", "desc")}
+    return json.dumps(whole, indent=2)

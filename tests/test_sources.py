@@ -141,3 +141,27 @@ def test_a_file_of_many_splits_keeps_its_order(spark, tmp_path):
         assert rows(got.orderBy("rec_index"), "rec_index", "seq_name", "seq") == sorted(((i, f"r{i}", "ACGT" * (i % 30) + "ACG") for i in range(3000)), key=repr)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_command_line(spark, make_graph, tmp_path, capsys, monkeypatch):
+    import io
+    import json
+
+    from strandloom import __main__ as cli
+
+    assert cli.main(["schema"]) == 0
+    schema = json.loads(capsys.readouterr().out)
+    assert set(schema["required"]) == {"paths", "blocks", "nodes"} and schema["properties"]["nodes"]["additionalProperties"]["properties"]["position"]["items"]["type"] == "integer"
+    monkeypatch.setattr(cli, "_session", lambda jobs: spark)
+    monkeypatch.setattr("sys.stdin", io.StringIO(">one\nACGTACGTACGTAAAC\n"))
+    out = str(tmp_path / "g.json.gz")
+    assert cli.main(["build", "-", "-o", out, "-K", "13", "--verify"]) == 0
+    assert cli.main(["reconstruct", out]) == 0
+    assert capsys.readouterr().out == ">one\nACGTACGTACGTAAAC\n"
+    assert cli.main(["export", "block-sequences", out, "-o", str(tmp_path / "blocks")]) == 0
+    assert [p.name for p in (tmp_path / "blocks").glob("*.fa")] == ["block_0.fa"]
+    assert cli.main(["export", "gfa", out, "-o", f"{tmp_path}/gfa/"]) == 0
+    text = "".join(p.read_text() for p in sorted((tmp_path / "gfa").glob("part-*")))
+    assert text.startswith("H\t") and "S\t0\t" in text and text.index("# blocks") < text.index("# paths")
+    with pytest.raises(SystemExit, match="backbone"):
+        cli.main(["export", "junction-context", out])
