@@ -413,6 +413,26 @@ ORACLE["q9_unit_walks"] = f"""WITH RECURSIVE {BASE} {COMPONENTS},
     FROM w JOIN hd ON hd.graph_id = w.graph_id AND hd.block_id = w.block_id"""
 
 
+@query("q9_rotated_unit_walks")
+def q9_rotated_unit_walks(g: Graphs) -> DataFrame:
+    """Walks of circular paths over units, begun at the longest unit, units that mostly point backwards turned."""
+    core = near_core(g)
+    units = cut_lineage(synteny.synteny_units(g, core))
+    turned = synteny.unit_walks(g.of_walks(g.walks.where("circular")), units, core, rotate=True)
+    return turned.select("graph_id", "path_id", F.col("ord").cast("bigint").alias("ord"), "label", "fwd")
+
+
+ORACLE["q9_rotated_unit_walks"] = f"""WITH RECURSIVE {BASE} {COMPONENTS},
+    hd AS (SELECT graph_id, unit AS block_id, 'MSU_' || (row_number() OVER (PARTITION BY graph_id ORDER BY unit_len DESC, unit) - 1) AS label FROM us),
+    q AS (SELECT w.graph_id, path_id, label, fwd, row_number() OVER (PARTITION BY path_id ORDER BY ord) - 1 AS r, count(*) OVER (PARTITION BY path_id) AS n
+          FROM w JOIN hd ON hd.graph_id = w.graph_id AND hd.block_id = w.block_id WHERE circular),
+    z AS (SELECT *, min(r) FILTER (label = 'MSU_0' AND fwd) OVER (PARTITION BY path_id) AS f, max(r) FILTER (label = 'MSU_0' AND NOT fwd) OVER (PARTITION BY path_id) AS b FROM q),
+    t AS (SELECT graph_id, path_id, label, CASE WHEN f IS NOT NULL THEN (r - f + n) % n ELSE (b - r + n) % n END AS ord,
+                 CASE WHEN f IS NOT NULL THEN fwd ELSE NOT fwd END AS fwd FROM z WHERE f IS NOT NULL OR b IS NOT NULL),
+    nt AS (SELECT graph_id, label, sum(CASE WHEN fwd THEN 1 ELSE -1 END) AS net FROM t GROUP BY ALL)
+    SELECT t.graph_id, path_id, ord::BIGINT AS ord, label, CASE WHEN net < 0 THEN NOT fwd ELSE fwd END AS fwd FROM t JOIN nt USING (graph_id, label)"""
+
+
 @query("g28_components")
 def g28_components(g: Graphs) -> DataFrame:
     """Blocks linked by any edge of a graph, however often it occurs."""

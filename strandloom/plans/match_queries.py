@@ -57,13 +57,13 @@ def _gfa_sql(walk: str, segments: str) -> str:
 @query("k6_gfa_lines", _gfa_sql("fw", ""))
 def k6_gfa_lines(spark: SparkSession, folder: str) -> DataFrame:
     """GFA lines of all graphs; lines are compared by their digest."""
-    return gfa.gfa_lines(Graphs.load(spark, folder)).select("graph_id", "section", F.sha2("value", 256).alias("line"))
+    return gfa.gfa_lines(Graphs.load(spark, folder).stored()).select("graph_id", "section", F.sha2("value", 256).alias("line"))
 
 
 @query("k7_gfa_filtered", _gfa_sql("fw", "WHERE len >= 200 AND count >= 3 AND NOT duplicated"))
 def k7_gfa_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """The same for blocks of 200 letters and three nodes or more that no path holds twice, walks linked anew."""
-    lines = gfa.gfa_lines(Graphs.load(spark, folder), min_len=200, min_depth=3, no_duplicated=True)
+    lines = gfa.gfa_lines(Graphs.load(spark, folder).stored(), min_len=200, min_depth=3, no_duplicated=True)
     return lines.select("graph_id", "section", F.sha2("value", 256).alias("line"))
 
 

@@ -83,6 +83,12 @@ class Graphs:
             self.__dict__["walks"], self.__dict__["_stored"] = cut_lineage(self.walks), True
         return self
 
+    def of_walks(self, walks: DataFrame) -> Graphs:
+        """The same graphs with some of their walks only."""
+        g = Graphs(self.raw_nodes, self.raw_paths, self.blocks)
+        g.__dict__["walks"] = walks
+        return g
+
     @cached_property
     def block_lengths(self) -> DataFrame:
         return self.blocks.select("graph_id", "block_id", F.length("consensus").alias("len"))
