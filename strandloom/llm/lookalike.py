@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -99,6 +100,8 @@ _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 _SPACES = regex.compile(r"\p{Zs}")
 # A run of letters and marks that isn't all ASCII; possessive, so that long runs are passed once.
 _TOKEN = regex.compile(r"(?<![\p{L}\p{M}])[A-Za-z]*+(?=[^\x00-\x7f])[\p{L}\p{M}]++")
+# Divides a text into what lies between such runs (even places) and the runs (odd places).
+_PARTS = regex.compile(f"({_TOKEN.pattern})")
 
 # Prices of the search, in nats.
 SCRIPT_CHANGE = 12.0
@@ -108,6 +111,14 @@ OTHER_START = 0.1
 #: Readings of tokens up to this length are remembered, this many of them.
 REMEMBERED_LETTERS, REMEMBERED_TOKENS = 64, 100_000
 
+_ASCII_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Number of an ASCII letter by its byte, from 1; 0 for all other bytes. A pair of them is a number under PAIR_CODES.
+_LETTER_CODE = np.zeros(256, np.int64)
+_LETTER_CODE[list(_ASCII_LETTERS.encode())] = range(1, 53)
+PAIR_CODES = 53 * 53
+#: Bytes of a text whose pairs are numbered at once; the text is read to its end piece by piece.
+PIECE = 1 << 20
+
 
 def fold(text: str) -> str:
     """Compatibility and accent forms made one, ignorable characters dropped, blanks made plain."""
@@ -133,10 +144,14 @@ class Canonical:
     """The search over look-alike lattices, with n-gram counts of letter pairs inside tokens."""
 
     def __init__(self, pairs: dict[str, int]):
-        first = Counter()
+        first, total = Counter(), Counter()
         for pair, n in pairs.items():
             first[pair[0]] += n
-        self.price = {p: math.log(first[p[0]] + 64) - math.log(n + 0.5) for p, n in pairs.items()}
+            total[script_of(pair[0])] += n
+        # a pair that was seen never costs more than one that wasn't, however large the table
+        self.price = {p: min(UNSEEN, math.log(first[p[0]] + 64) - math.log(n + 0.5)) for p, n in pairs.items()}
+        # the first letter of a token costs by its share of the letters of its script, so that what follows a rare twin weighs little
+        self.start = {c: min(UNSEEN, math.log(total[script_of(c)] + 64) - math.log(n + 0.5)) for c, n in first.items()}
         self.memory: dict[str, str] = {}
 
     def token(self, token: str) -> str:
@@ -163,7 +178,7 @@ class Canonical:
             here, step = {}, {}
             for x in c if mark else CLASS.get(c, c):
                 script = script_of(x)
-                best, back = (0.0 if script in ("latin", "other") else OTHER_START), ""
+                best, back = self.start.get(x, UNSEEN) + (0.0 if script in ("latin", "other") else OTHER_START), ""
                 if before:
                     best = math.inf
                     for y, price in before.items():
@@ -194,14 +209,33 @@ class Canonical:
         return form, len(written), sum(self.token(skeleton(t)) != unicodedata.normalize("NFC", t) for t in written)
 
 
+def _ascii_pairs(text: bytes) -> np.ndarray:
+    """How often each pair of ASCII letters stands side by side; pairs with another byte are under the codes that hold a 0."""
+    counts = np.zeros(PAIR_CODES, np.int64)
+    for at in range(0, len(text), PIECE):
+        codes = _LETTER_CODE[np.frombuffer(text[at : at + PIECE + 1], np.uint8)]
+        counts += np.bincount(codes[:-1] * 53 + codes[1:], minlength=PAIR_CODES)
+    return counts
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Letter pairs inside tokens that are written in one script, of each batch."""
+    """Letter pairs inside runs of letters that are written in one script, of each batch; runs all in ASCII are Latin."""
     for batch in batches:
         pairs: Counter = Counter()
         tokens: Counter = Counter()
+        ascii_pairs = np.zeros(PAIR_CODES, np.int64)
         for t in batch.column(0):
-            if (text := t.as_py()) is not None:
-                tokens.update(_TOKEN.findall(fold(text)))
+            if (text := t.as_py()) is None:
+                continue
+            if not text.isascii():
+                parts = _PARTS.split(fold(text))
+                tokens.update(parts[1::2])
+                text = " ".join(parts[::2])
+            ascii_pairs += _ascii_pairs(text.encode())
+        for code in np.flatnonzero(ascii_pairs):
+            a, b = divmod(int(code), 53)
+            if a and b:
+                pairs[_ASCII_LETTERS[a - 1] + _ASCII_LETTERS[b - 1]] = int(ascii_pairs[code])
         for token, n in tokens.items():
             scripts = {script_of(c) for c in token if unicodedata.category(c)[0] == "L"}
             if len(scripts) == 1 and scripts != {"other"}:
@@ -211,14 +245,14 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_ngrams(docs: DataFrame, text: str = "text") -> Canonical:
-    """Letter-pair counts over all texts with letters outside ASCII; others have but one reading.
+    """Letter-pair counts over all texts, plain ASCII ones included: most of what Latin words look like stands there.
 
     What comes to the driver is a table of pairs of letters of one of SCRIPTS: by the numbers of their
     letters (about 1,400 Latin ones, fewer of each other) at most some 3 million, a few thousand in
     practice, whatever the corpus.
     """
     ship(docs.sparkSession)
-    rows = docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(F.col(text)).mapInArrow(_count_pairs, "pair string, n bigint")
+    rows = docs.select(F.col(text)).mapInArrow(_count_pairs, "pair string, n bigint")
     return Canonical({r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect()})
 
 

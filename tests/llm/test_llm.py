@@ -6,10 +6,12 @@ import itertools
 import random
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -354,6 +356,32 @@ def test_readings_by_the_search(spark):
     assert got[6] == ("café", 1, 0) and set(got) == {1, 5, 6}
 
 
+def test_letter_pairs_of_all_texts_count(spark, monkeypatch):
+    """Plain texts teach the search what Latin words look like; else a few words with a smuggled letter would."""
+    texts = ["the cases of a class can call"] * 20 + ["cɑse cɑll"] * 5 + ["cascadé", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["form"], r["n_mended"]) for r in lookalike.canonical_forms(df, "doc_id", "text").collect()}
+    assert got[25] == ("cascadé", 0) and got[20] == ("case call", 2) and set(got) == {20, 21, 22, 23, 24, 25}
+
+    texts = ["ab-abc", "Zażółć abc, сосна xс é ｆｏｏ​bar—end a\u0301b", "a", "", None, "x y", "字ab", "abc" * 50]
+    want = Counter()
+    for run in (r for t in texts if t for r in regex.findall(r"[\p{L}\p{M}]+", lookalike.fold(t))):
+        scripts = {lookalike.script_of(c) for c in run if unicodedata.category(c)[0] == "L"}
+        if len(scripts) == 1 and scripts != {"other"}:
+            want.update(a + b for a, b in itertools.pairwise(run))
+    for piece in (1, 2, 7, lookalike.PIECE):
+        monkeypatch.setattr(lookalike, "PIECE", piece)
+        batch = pa.RecordBatch.from_pydict({"text": texts})
+        assert {r["pair"]: r["n"] for b in lookalike._count_pairs(iter([batch])) for r in b.to_pylist()} == want
+
+
+def test_prices_of_large_counts():
+    # a rare twin at the beginning: what follows it is no reason to read it
+    assert lookalike.Canonical({"ga": 1000, "ɡñ": 1}).text("gñu") == "gñu"
+    # a pair seen once after a very common letter isn't dearer than one never seen
+    assert lookalike.Canonical({"na": 10, "an": 10**9, "aï": 1}).text("naï") == "naï"
+
+
 MODEL = lookalike.Canonical({a + b: 50 for w in ("сосна", "значение", "νόμος", "café") for a, b in zip(w, w[1:], strict=False)})
 
 
